@@ -44,9 +44,3 @@ def write_features(features: DataFrame, path: str) -> None:
     feature_lines(features).write.mode("overwrite").text(path)
 
 
-def write_map(features: DataFrame, path: str) -> bool:
-    """As ``write_features``, but nothing is written when there is no feature at all."""
-    if features.isEmpty():
-        return False
-    write_features(features, path)
-    return True

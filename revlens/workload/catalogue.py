@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.operators import agreement, dashboard, labels, review, survey, trends
-from revlens.sources import geojson
+from revlens.functions import geo, markup, scores, web
+from revlens.functions.text import changed_line, highlight
+from revlens.operators import (
+    agreement, dashboard, dedup, discovery, labels, review, scoring, survey, textdiff, trends, worddiff,
+)
+from revlens.plans import discover as discover_plan
+from revlens.plans import enrich as enrich_plan
+from revlens.schema import STANCES, TOPICS
+from revlens.session import written_table
+from revlens.sources import articles as article_source
+from revlens.sources import categories, geojson, history
 from revlens.workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +112,258 @@ def labelled_revisions(spark, sf_dir):
     return both.select("id", "article_url", "manual_bias", "manual_topic")
 
 
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return fx.table(spark, sf_dir, "pages").select(
+        "page_id",
+        web.title(url).alias("title"),
+        web.domain(url).alias("domain"),
+        web.language(url).alias("lang"),
+        web.api_url(url).alias("api_url"),
+    )
+
+
+def user_is_ip(spark, sf_dir):
+    return fx.user_fx(spark, sf_dir).select("event_id", "user", web.is_ip(F.col("user")).alias("is_ip"))
+
+
+def coord_parse(spark, sf_dir):
+    coord = F.col("coord")
+    return fx.articles_fx(spark, sf_dir).select(
+        "url", geo.normalised(coord).alias("coord"), geo.longitude(coord).alias("lon"), geo.latitude(coord).alias("lat")
+    )
+
+
+def coord_fill(spark, sf_dir):
+    return article_source.fill_coordinates(fx.articles_fx(spark, sf_dir))
+
+
+def revision_pairs(spark, sf_dir):
+    return textdiff.revision_pairs(fx.doc_rev(spark, sf_dir)).drop("bucket")
+
+
+def sentence_edits(spark, sf_dir):
+    return textdiff.sentence_edits(textdiff.revision_pairs(fx.doc_rev(spark, sf_dir))).drop("bucket")
+
+
+def node_edits(spark, sf_dir):
+    return textdiff.node_edits(textdiff.revision_pairs(fx.wiki_rev(spark, sf_dir))).drop("bucket")
+
+
+def context_window(spark, sf_dir):
+    pairs = textdiff.revision_pairs(fx.chat_rev(spark, sf_dir))
+    return textdiff.with_context(textdiff.sentence_edits(pairs), pairs).drop("bucket")
+
+
+def changed_lines(spark, sf_dir):
+    content, after = F.col("content"), F.col("diff_after")
+    return fx.event_rev(spark, sf_dir).select("id", changed_line(content, after).alias("line"))
+
+
+def highlighted(spark, sf_dir):
+    content, after = F.col("content"), F.col("diff_after")
+    return fx.event_rev(spark, sf_dir).select("id", highlight(content, after).alias("marked"))
+
+
+def plain_text(spark, sf_dir):
+    return fx.wiki_rev(spark, sf_dir).select("article", "rev_seq", markup.plain_text(F.col("text")).alias("plain"))
+
+
+def page_plain_text(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", markup.plain_text(F.col("html")).alias("plain"))
+
+
+def _event_probs(side: str):
+    """Class probabilities per event; half of them under the second label naming."""
+    p, q = (F.expr(fx.SPARK_HASH.format(f"('{x}{side}' || id)")) for x in "pq")
+    named = F.create_map(F.lit("Neutral"), F.lit(0.5), F.lit("Slightly Biased"), p, F.lit("Highly Biased"), q)
+    coded = F.create_map(F.lit("LABEL_0"), F.lit(0.5), F.lit("LABEL_1"), p, F.lit("LABEL_2"), q)
+    return F.when(F.col("original_revid") % 2 == 0, named).otherwise(coded)
+
+
+def _scored_events(spark, sf_dir):
+    rev = fx.event_rev(spark, sf_dir).select("id", "original_revid", "diff_before", "diff_after")
+    out = rev
+    for side in ("before", "after"):
+        text, probs = F.col(f"diff_{side}"), _event_probs(side)
+        out = out.withColumn(f"bias_score_{side}", scores.score_or_default(text, probs)).withColumn(
+            f"bias_label_{side}", scores.label_or_default(text, probs)
+        )
+    return out.drop("original_revid", "diff_before", "diff_after")
+
+
+def bias_scored(spark, sf_dir):
+    return rounded(_scored_events(spark, sf_dir), "bias_score_before", "bias_score_after")
+
+
+def material_changes(spark, sf_dir):
+    scored = enrich_plan.material_changes(_scored_events(spark, sf_dir))
+    delta = F.col("bias_score_after") - F.col("bias_score_before")
+    return scored.select("id", F.round(delta, 6).alias("bias_delta"))
+
+
+def delta_direction(spark, sf_dir):
+    return fx.event_rev(spark, sf_dir).select("id", scores.delta_direction(F.col("bias_delta")).alias("direction"))
+
+
+def saved_changes(spark, sf_dir):
+    edits = textdiff.sentence_edits(textdiff.revision_pairs(fx.doc_rev(spark, sf_dir)))
+    scored = edits.select(
+        "article",
+        "rev_seq",
+        "change_type",
+        "diff_before",
+        "diff_after",
+        textdiff.change_order(F.col("rev_seq"), F.col("change_seq")).alias("change_ord"),
+        (F.col("article") * 1000000 + F.col("rev_seq")).alias("original_revid"),
+        F.expr(fx.hash_score("s", "diff_before")).alias("bias_score_before"),
+        F.expr(fx.hash_score("s", "diff_after")).alias("bias_score_after"),
+    )
+    gated = written_table(enrich_plan.material_changes(scored), "gated")
+    saved = dedup.with_row_id(dedup.saved_changes(gated))
+    return saved.select("id", "article", "rev_seq", "change_type", "diff_before", "diff_after")
+
+
+def _hash_labels(prefix: str, names):
+    """Scorer that spreads texts over the labels by digest."""
+
+    def probs(text):
+        share = F.conv(F.substring(F.md5(F.concat(F.lit(prefix), text)), 1, 8), 16, 10).cast("long") % len(names)
+        return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), (share == i).cast("double"))])
+
+    return scoring.expression_scorer(probs)
+
+
+def _hash_bias(text):
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("s"), text)), 1, 8), 16, 10).cast("long") / 4294967296
+    return F.create_map(F.lit("Neutral"), F.lit(0.5), F.lit("Highly Biased"), F.round(h, 6))
+
+
+def enriched_changes(spark, sf_dir):
+    """The whole acquisition path, from service answers to rows of the revision table."""
+    revisions = history.parse_pages(fx.api_pages(spark, sf_dir))
+    rows = enrich_plan.enrich(
+        revisions, scoring.expression_scorer(_hash_bias), _hash_labels("t", TOPICS), _hash_labels("c", STANCES)
+    )
+    return rounded(rows, "bias_score_before", "bias_score_after", "bias_delta")
+
+
+def api_revisions(spark, sf_dir):
+    return history.parse_pages(fx.api_pages(spark, sf_dir))
+
+
+def _labelled_documents(spark, sf_dir):
+    labelled = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", "text").join(labelled, "doc_id")
+
+
+def _naive_bayes(spark, sf_dir):
+    return scoring.NaiveBayes.train(_labelled_documents(spark, sf_dir).select("label", "text"), ["0", "1"])
+
+
+def nb_train(spark, sf_dir):
+    weights = _naive_bayes(spark, sf_dir).weights
+    return rounded(weights.select("token", F.explode("w").alias("label", "weight")), "weight")
+
+
+def nb_score(spark, sf_dir):
+    texts = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    found = _naive_bayes(spark, sf_dir).log_scores(texts)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.round(F.element_at("scores", F.lit("1")) - F.element_at("scores", F.lit("0")), 6).alias("log_odds"),
+    )
+
+
+def quality_report(spark, sf_dir):
+    """Naive Bayes against the true labels of the documents it was trained on."""
+    documents = _labelled_documents(spark, sf_dir)
+    probs = _naive_bayes(spark, sf_dir)(documents.select(F.col("doc_id").alias("key"), "text"))
+    guessed = probs.select(F.col("key").alias("doc_id"), scores.best_label(F.col("probs")).alias("ai"))
+    counts = (
+        documents.select("doc_id", F.col("label").alias("human"))
+        .join(guessed, "doc_id")
+        .groupBy("human", "ai")
+        .agg(F.count("*").alias("n"))
+    )
+    return rounded(agreement.classification_report(counts).drop("hit_n"), "precision", "recall", "f1")
+
+
+def zero_shot_topic(spark, sf_dir):
+    vectors = fx.table(spark, sf_dir, "embeddings")
+    candidates = scoring.label_centroids(vectors, "label", "embedding")
+    guessed = scoring.nearest_label(vectors, candidates, "embedding", "ai")
+    return guessed.groupBy(F.col("label").alias("human"), "ai").agg(F.count("*").alias("n"))
+
+
+def region_closure(spark, sf_dir):
+    return discovery.region_closure(fx.triples_fx(spark, sf_dir), fx.regions_fx(spark, sf_dir))
+
+
+def region_articles(spark, sf_dir):
+    return discovery.region_articles(
+        fx.triples_fx(spark, sf_dir), fx.regions_fx(spark, sf_dir), [fx.ZH, fx.EN], ["zh", "en"]
+    )
+
+
+def discovered_articles(spark, sf_dir):
+    return discover_plan.discover(
+        fx.triples_fx(spark, sf_dir), fx.regions_fx(spark, sf_dir), [fx.ZH, fx.EN], ["zh", "en"]
+    )
+
+
+def topic_categories(spark, sf_dir):
+    listed = categories.category_frame(spark, ("view", "click", "purchase", "refund", "error"))
+    return categories.category_counts(listed, fx.event_rev(spark, sf_dir), "ai_topic")
+
+
+def stance_categories(spark, sf_dir):
+    listed = categories.category_frame(spark, STANCES)
+    return categories.category_counts(listed, fx.event_rev(spark, sf_dir), "ai_political_stance")
+
+
+def articles_upsert(spark, sf_dir):
+    """Every event of a third of the users moves the article of that user; the last move counts."""
+    users = fx.table(spark, sf_dir, "events").filter("user_id % 3 = 0")
+    moves = users.select(
+        F.expr(fx.USER_URL.format(text="string")).alias("url"),
+        F.concat(F.lit("POINT("), F.col("event_id").cast("string"), F.lit(" 1)")).alias("coord"),
+        F.col("event_id").alias("seq"),
+    )
+    return article_source.upsert(fx.articles_fx(spark, sf_dir), moves, "url", "seq")
+
+
+def articles_refresh(spark, sf_dir):
+    """Landed search results become the new article table."""
+    found = article_source.parse_bindings(fx.bindings(spark, sf_dir))
+    return discover_plan.article_table(found)
+
+
+def ingest_totals(spark, sf_dir):
+    return article_source.ingest_totals(article_source.parse_bindings(fx.bindings(spark, sf_dir)))
+
+
+def first_articles(spark, sf_dir):
+    return article_source.first_articles(fx.articles_fx(spark, sf_dir), 50)
+
+
+def word_diff(spark, sf_dir):
+    found = worddiff.word_diff(textdiff.revision_pairs(fx.chat_rev(spark, sf_dir)))
+    signs = F.transform("script", lambda o: F.concat(F.substring(o["op"], 1, 1), F.lit(":"), o["word"]))
+    return found.select("article", "rev_seq", F.array_join(signs, " ").alias("script"))
+
+
+def change_word_diff(spark, sf_dir):
+    """The edit script of the stored text pair of each change."""
+    found = worddiff.word_diff(fx.event_rev(spark, sf_dir).select("id", "diff_before", "diff_after"), "diff_before", "diff_after")
+    signs = F.transform("script", lambda o: F.concat(F.substring(o["op"], 1, 1), F.lit(":"), o["word"]))
+    return found.select("id", F.array_join(signs, " ").alias("script"))
+
+
+def word_churn(spark, sf_dir):
+    return worddiff.word_churn(textdiff.revision_pairs(fx.doc_rev(spark, sf_dir)), "article")
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_outliers": monthly_outliers,
@@ -131,4 +392,38 @@ def queries() -> dict[str, Query]:
         "labelled_revisions": labelled_revisions,
         "label_progress": lambda s, d: labels.label_progress(fx.event_rev(s, d)),
         "training_export": lambda s, d: labels.training_export(fx.event_rev(s, d)),
+            "url_parts": url_parts,
+        "user_is_ip": user_is_ip,
+        "coord_parse": coord_parse,
+        "coord_fill": coord_fill,
+        "revision_pairs": revision_pairs,
+        "sentence_edits": sentence_edits,
+        "node_edits": node_edits,
+        "context_window": context_window,
+        "changed_line": changed_lines,
+        "highlighted": highlighted,
+        "plain_text": plain_text,
+        "page_plain_text": page_plain_text,
+        "bias_scored": bias_scored,
+        "material_changes": material_changes,
+        "delta_direction": delta_direction,
+        "saved_changes": saved_changes,
+        "enriched_changes": enriched_changes,
+        "api_revisions": api_revisions,
+        "nb_train": nb_train,
+        "nb_score": nb_score,
+        "quality_report": quality_report,
+        "zero_shot_topic": zero_shot_topic,
+        "region_closure": region_closure,
+        "region_articles": region_articles,
+        "discovered_articles": discovered_articles,
+        "topic_categories": topic_categories,
+        "stance_categories": stance_categories,
+        "articles_upsert": articles_upsert,
+        "articles_refresh": articles_refresh,
+        "ingest_totals": ingest_totals,
+        "first_articles": first_articles,
+        "word_diff": word_diff,
+        "change_word_diff": change_word_diff,
+        "word_churn": word_churn,
     }

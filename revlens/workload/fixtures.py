@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.schema import STANCES, TOPICS
+from revlens.schema import DISCOVERY_RESULT, STANCES
 from revlens.session import tune
 
 SPARK_HASH = "round(cast(conv(substr(md5({0}),1,8),16,10) as bigint)/4294967296D, 6)"
@@ -134,14 +134,19 @@ def label_events_of(events: DataFrame) -> DataFrame:
 
 
 def chat_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as articles: revision k holds the turns k-2 .. k. (article, rev_seq, text)"""
-    from pyspark.sql import Window as W
-
-    recent = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 0)
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("article"),
-        F.col("turn").alias("rev_seq"),
-        F.array_join(F.collect_list("text").over(recent), "\n").alias("text"),
+    """Conversations as articles: revision k holds the turns k-2 .. k. (article, rev_seq, text)
+
+    Each turn is handed to the three revisions it belongs to, so no window runs per conversation.
+    """
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("article"), "turn", "text", F.explode(F.sequence("turn", F.col("turn") + 2)).alias("rev_seq")
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return (
+        turns.groupBy("article", "rev_seq")
+        .agg(F.max("turn").alias("last"), F.array_join(F.transform(in_order, lambda t: t["text"]), "\n").alias("text"))
+        .filter(F.col("last") == F.col("rev_seq"))
+        .drop("last")
     )
 
 
@@ -161,20 +166,136 @@ def doc_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wiki_line(n: str, line: str, text: str, sub) -> str:
-    """Wrap a document line in markup; the kind of node depends on the line number.
+def wiki_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles with markup: revision k is line k behind or in front of nodes that hold k."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    n, line = F.col("k").cast("string"), F.col("line")
+    infobox = F.concat(F.lit("{{Infobox|name=x|count="), n, F.lit("|[[Main|"), n, F.lit("]]}} "), line)
+    city = F.concat(F.lit("[[City|town "), n, F.lit("]] "), line)
+    reference = F.concat(line, F.lit('<ref name="s">src '), n, F.lit("</ref>"))
+    nested = F.concat(F.lit("{{Outer|a={{Inner|"), n, F.lit("}}|b="), n, F.lit("}}"), line)
+    only = F.concat(F.lit("'''"), line, F.lit("''' [[Only "), n, F.lit("]]"))
+    kind = F.col("doc_id") % 5
+    text = (
+        F.when(kind == 0, infobox).when(kind == 1, city).when(kind == 2, reference).when(kind == 3, nested).otherwise(only)
+    )
+    return lines.select(F.col("doc_id").alias("article"), F.col("k").cast("long").alias("rev_seq"), text.alias("text"))
+
+
+API_PAGE = 3
+
 
-    ``{n}`` takes part in the wrapped values, so each revision changes them.
+def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answers of a history service, newest turn first, three per page.
+
+    Even conversations nest the text, odd ones do not; some users are missing; every tenth
+    conversation answers with page id -1.
     """
-    num = f"cast({n} as {text})"
-    return (
-        f"case {n} % 5"
-        f" when 0 then '{{{{Infobox|name=' || {sub} || '|count=' || {num} || '|' || '[[Main|' || {num} || ']]' || '}}}} ' || {line}"
-        f" when 1 then '[[City|town ' || {num} || ']] ' || {line}"
-        f" when 2 then {line} || '<ref name=\"s\">src ' || {num} || '</ref>'"
-        f" when 3 then '{{{{Outer|a={{{{Inner|' || {num} || '}}}}|b=' || {num} || '}}}}' || {line}"
-        f" else '\\'\\'\\'' || {line} || '\\'\\'\\' [[Only ' || {num} || ']]' end"
+    turns = table(spark, sf_dir, "conversations")
+    newest = turns.groupBy("conv_id").agg(F.max("turn").alias("newest"))
+    at = F.col("newest") - F.col("turn")
+    text = F.col("text")
+    nested = F.struct(F.struct(text.alias("*")).alias("main"))
+    rev = F.struct(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("revid"),
+        F.when(F.col("turn") % 3 != 1, F.concat(F.col("role"), F.lit("_"), F.col("conv_id").cast("string"))).alias("user"),
+        F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"), F.lit("T00:00:00Z")).alias("timestamp"),
+        F.when(F.col("conv_id") % 2 == 0, nested).alias("slots"),
+        F.when(F.col("conv_id") % 2 == 1, text).alias("*"),
+    )
+    paged = (
+        turns.join(newest, "conv_id")
+        .select("conv_id", (F.floor(at / API_PAGE)).cast("long").alias("page_no"), F.struct(at.alias("at"), rev.alias("rev")).alias("r"))
+        .groupBy("conv_id", "page_no")
+        .agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["rev"]).alias("revisions"))
+    )
+    missing = F.col("conv_id") % 10 == 9
+    page_id = F.when(missing, F.lit("-1")).otherwise(F.col("conv_id").cast("string"))
+    page = F.struct(
+        F.concat(F.lit("T "), F.col("conv_id").cast("string")).alias("title"),
+        F.when(~missing, F.col("revisions")).alias("revisions"),
     )
+    body = F.to_json(F.struct(F.struct(F.create_map(page_id, page).alias("pages")).alias("query")))
+    url = F.concat(F.lit("https://en.wiki.example/wiki/T_"), F.col("conv_id").cast("string"))
+    return paged.select(url.alias("article"), "page_no", body.alias("body"))
+
+
+def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as search results, a hundred per document; each third has no coordinate."""
+    key = F.col("c_custkey")
+    value = lambda c: F.struct(c.alias("value"))
+    url = F.concat(F.lit("https://en.wiki.example/wiki/C_"), (key % 1000).cast("string"))
+    coord = F.concat(F.lit("Point("), (key % 180).cast("string"), F.lit(" "), (key % 90).cast("string"), F.lit(")"))
+    found = F.when(key % 3 == 0, F.create_map(F.lit("article"), value(url))).otherwise(
+        F.create_map(F.lit("article"), value(url), F.lit("coord"), value(coord))
+    )
+    documents = (
+        table(spark, sf_dir, "customer")
+        .groupBy(F.floor(key / 100).alias("d"))
+        .agg(F.collect_list(found).alias("bindings"))
+        .select(F.to_json(F.struct(F.struct("bindings").alias("results"))).alias("body"))
+    )
+    return documents.select(F.from_json("body", DISCOVERY_RESULT).alias("r")).select("r.*")
+
+
+ZH, EN = "https://zh.wiki.example/", "https://en.wiki.example/"
+
+
+def triples_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph: customers in nations in regions (with one cycle), coordinates, seats, links, labels."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+
+    def node(prefix: str, c):
+        return F.concat(F.lit(prefix), c.cast("string"))
+
+    key = F.col("c_custkey")
+    item = node("C", key)
+    place = node("N", F.col("c_nationkey"))
+
+    def triple(s, p: str, o, wanted=F.lit(True)):
+        return F.when(wanted, F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")))
+
+    zh, en = node(ZH + "wiki/C_", key), node(EN + "wiki/C_", key)
+    has_zh, has_en = key % 2 == 0, key % 5 != 0
+    coord = F.concat(F.lit("Point("), (key % 180).cast("string"), F.lit(" 24.5)"))
+    of_customer = F.array(
+        triple(item, "P131", place, key % 3 != 1),
+        triple(item, "P625", coord, key % 3 == 0),
+        triple(item, "P159", place, key % 3 == 1),
+        triple(zh, "about", item, has_zh),
+        triple(zh, "isPartOf", F.lit(ZH), has_zh),
+        triple(en, "about", item, has_en),
+        triple(en, "isPartOf", F.lit(EN), has_en),
+        triple(item, "label@zh", node("zh ", key), key % 4 == 0),
+        triple(item, "label@en", node("en ", key), key % 3 != 2),
+    )
+    up = F.array(triple(node("N", F.col("n_nationkey")), "P131", node("R", F.col("n_regionkey"))))
+    down = (
+        nation.groupBy("n_regionkey")
+        .agg(F.min("n_nationkey").alias("n"))
+        .select(F.inline(F.array(triple(node("R", F.col("n_regionkey")), "P131", node("N", F.col("n"))))))
+    )
+    graph = customer.select(F.explode(of_customer).alias("t")).filter("t is not null").select("t.*")
+    return graph.unionByName(nation.select(F.inline(up))).unionByName(down)
+
+
+def regions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").filter(F.col("r_regionkey").isin(1, 2))
+    return regions.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("region"))
+
+
+USERS = (
+    "case user_id % 9 when 0 then '1.2.3.' || cast(user_id as {0}) when 1 then '999.1.1.' || cast(user_id as {0})"
+    " when 2 then 'fe80::' || cast(user_id as {0}) when 3 then '::1' when 4 then 'fe80::'"
+    " when 5 then '[a:' || cast(user_id as {0}) || ']' when 6 then 'Cafe:Bad' when 7 then 'N/A'"
+    " else 'user ' || cast(user_id as {0}) end"
+)
+
+
+def user_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.expr(USERS.format("string")).alias("user"))
 
 
-CATEGORIES = [("topic", TOPICS), ("stance", STANCES)]
+def hash_score(prefix: str, text: str) -> str:
+    """Stand-in bias score of a text: 0 when blank, else from its digest."""
+    return f"case when trim({text}) = '' then 0.0D else {SPARK_HASH.format(f"('{prefix}' || {text})")} end"
