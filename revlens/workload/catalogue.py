@@ -193,13 +193,13 @@ def _scored_events(spark, sf_dir):
 
 
 def bias_scored(spark, sf_dir):
-    return rounded(_scored_events(spark, sf_dir), "bias_score_before", "bias_score_after")
+    return rounded(_scored_events(spark, sf_dir), "bias_score_before", "bias_score_after", places=7)
 
 
 def material_changes(spark, sf_dir):
     scored = enrich_plan.material_changes(_scored_events(spark, sf_dir))
     delta = F.col("bias_score_after") - F.col("bias_score_before")
-    return scored.select("id", F.round(delta, 6).alias("bias_delta"))
+    return scored.select("id", F.round(delta, 7).alias("bias_delta"))
 
 
 def delta_direction(spark, sf_dir):

@@ -6,15 +6,15 @@ from revlens.schema import STANCES
 from revlens.workload import fixtures as fx
 
 _COLS = fx.event_columns(fx.DUCK_HASH, fx.DUCK_ISO, "varchar")
-_URL = fx.USER_URL.format(text="varchar")
+USER_URL = fx.USER_URL.format(text="varchar")
 EVENT_REV = (
     "rev as (select " + ", ".join(f'{e} as "{c}"' for c, e in _COLS.items())
     + f" from (select *, {fx.K_DUCK} as k from events))"
 )
-_LON = f"cast(120 + {fx.DUCK_HASH.format('(' + _URL + ')')} as varchar)"
-_LAT = f"cast(24 + {fx.DUCK_HASH.format(chr(40) + repr('y') + ' || ' + _URL + ')')} as varchar)"
+_LON = f"cast(120 + {fx.DUCK_HASH.format('(' + USER_URL + ')')} as varchar)"
+_LAT = f"cast(24 + {fx.DUCK_HASH.format(chr(40) + repr('y') + ' || ' + USER_URL + ')')} as varchar)"
 ARTICLES = (
-    f"articles as (select {_URL} as url, {fx.COORD_CASE.format(lon=_LON, lat=_LAT)} as coord"
+    f"articles as (select {USER_URL} as url, {fx.COORD_CASE.format(lon=_LON, lat=_LAT)} as coord"
     " from (select distinct user_id from events where user_id % 29 <> 0))"
 )
 PLACES = (
@@ -69,7 +69,7 @@ def _confusion(base: str, cells: str) -> str:
     )
 
 
-def _report(base: str, cells: str) -> str:
+def report_sql(base: str, cells: str) -> str:
     return (
         f"with {base}, {cells}, {_UNIVERSE}, {_TOTALS}, {_METRICS}"
         ' select label, round(p, 6) as "precision", round(r, 6) as recall, round(f1, 6) as f1, support from rep'
@@ -201,7 +201,7 @@ def aggregate_queries() -> dict[str, str]:
         cells = _cells(kind)
         out[f"{kind}_confusion"] = _confusion(EVENT_REV, cells)
         out[f"{kind}_distribution_bias"] = _distribution(EVENT_REV, cells)
-        out[f"{kind}_report"] = _report(EVENT_REV, cells)
+        out[f"{kind}_report"] = report_sql(EVENT_REV, cells)
         out[f"{kind}_report_summary"] = _summary(EVENT_REV, cells)
     out["article_agreement"] = f"{_AGREEMENT} select * from agree"
     out["survey_totals"] = (
@@ -278,6 +278,3 @@ def aggregate_queries() -> dict[str, str]:
     )
     return out
 
-
-def all_queries() -> dict[str, str]:
-    return aggregate_queries()
