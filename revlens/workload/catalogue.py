@@ -15,9 +15,10 @@ from revlens.operators import (
 from revlens.plans import discover as discover_plan
 from revlens.plans import enrich as enrich_plan
 from revlens.schema import STANCES, TOPICS
-from revlens.session import written_table
+from revlens.session import scratch_path, written_table
 from revlens.sources import articles as article_source
 from revlens.sources import categories, geojson, history
+from revlens.streaming import ingest, live
 from revlens.workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +365,64 @@ def word_churn(spark, sf_dir):
     return worddiff.word_churn(textdiff.revision_pairs(fx.doc_rev(spark, sf_dir)), "article")
 
 
+def _event_stream(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _drain(stream, mode, transform=None):
+    """Run a stream over the files that are there and read back what it published."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, "stream")
+    live.publish(stream, f"{path}/out", f"{path}/checkpoint", mode, transform).awaitTermination()
+    return live.published(spark, f"{path}/out", stream.schema)
+
+
+def stream_daily_topics(spark, sf_dir):
+    revisions = fx.event_rev_of(_event_stream(spark, sf_dir))
+    return as_text(live.newest_batch(_drain(live.live_daily_labels(revisions, "ai_topic"), "complete")), "date")
+
+
+def stream_histogram(spark, sf_dir):
+    revisions = fx.event_rev_of(_event_stream(spark, sf_dir))
+    return live.newest_batch(_drain(live.live_histogram(revisions), "complete"))
+
+
+def stream_label_state(spark, sf_dir):
+    events = fx.label_events_of(_event_stream(spark, sf_dir))
+    return live.current_labels(_drain(live.live_label_writes(events), "update"))
+
+
+def _timed(spark, sf_dir):
+    return _event_stream(spark, sf_dir).withColumn("event_ts", F.col("ts").cast("timestamp"))
+
+
+def stream_first_seen(spark, sf_dir):
+    """The delay covers the whole data, so the keys of all rows come out once."""
+    rows = _timed(spark, sf_dir).select("user_id", "event_type", "event_ts")
+    seen = live.first_seen(rows, ["user_id", "event_type"], "event_ts", "3650 days")
+    return _drain(seen, "append").select("user_id", "event_type")
+
+
+def stream_daily_window(spark, sf_dir):
+    counts = live.daily_windows(_timed(spark, sf_dir), "event_ts", F.col("event_type"), "1 hour")
+    return as_text(_drain(counts, "append").drop(live.BATCH), "date")
+
+
+def stream_ingest(spark, sf_dir):
+    revisions = fx.event_rev_of(_event_stream(spark, sf_dir))
+    changes = enrich_plan.material_changes(revisions).select(
+        F.col("article_url").alias("article"),
+        "original_revid",
+        F.col("original_revid").alias("change_ord"),
+        "diff_before",
+        "diff_after",
+    )
+    path = scratch_path(spark, "ingest")
+    ingest.ingest_changes(changes, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("id", "article", "diff_before", "diff_after")
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_outliers": monthly_outliers,
@@ -426,4 +485,10 @@ def queries() -> dict[str, Query]:
         "word_diff": word_diff,
         "change_word_diff": change_word_diff,
         "word_churn": word_churn,
+            "stream_daily_topics": stream_daily_topics,
+        "stream_histogram": stream_histogram,
+        "stream_label_state": stream_label_state,
+        "stream_first_seen": stream_first_seen,
+        "stream_daily_window": stream_daily_window,
+        "stream_ingest": stream_ingest,
     }

@@ -186,7 +186,7 @@ def _outliers(base: str) -> str:
 
 _DAILY = f"select {DAY} as d, avg(bias_score_after) as s from rev group by 1"
 
-_STATE = (
+LABEL_STATE = (
     "clr as (select coalesce(max(event_seq), -1) as c from ev where kind = 'clear'),"
     " state as (select id, case when kind = 'skip' then 'SKIPPED' else stance end as manual_bias,"
     " case when kind = 'skip' then 'SKIPPED' else topic end as manual_topic, event_seq from ("
@@ -264,9 +264,9 @@ def aggregate_queries() -> dict[str, str]:
     )
     out["monthly_outliers"] = _outliers(LINE_REV)
     out["monthly_activity"] = f"with {LINE_REV}, {_MONTHS} select month, revs, round(s, 6) as avg_score from m"
-    out["label_state"] = f"with {LABEL_EVENTS}, {_STATE} select * from state"
+    out["label_state"] = f"with {LABEL_EVENTS}, {LABEL_STATE} select * from state"
     out["labelled_revisions"] = (
-        f"with {EVENT_REV}, {LABEL_EVENTS}, {_STATE} select rev.id, article_url, state.manual_bias, state.manual_topic"
+        f"with {EVENT_REV}, {LABEL_EVENTS}, {LABEL_STATE} select rev.id, article_url, state.manual_bias, state.manual_topic"
         " from rev left join state on state.id = rev.id"
     )
     out["label_progress"] = (

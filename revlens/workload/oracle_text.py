@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from revlens.schema import STANCES, TOPICS
 from revlens.workload import fixtures as fx
-from revlens.workload.oracle import ARTICLES, EVENT_REV, PLACES, USER_URL, report_sql
+from revlens.workload.oracle import (
+    ARTICLES, DAY, EVENT_REV, LABEL_EVENTS, LABEL_STATE, PLACES, USER_URL, report_sql,
+)
 
 _BLANKS = r"[\s\v\x{85}\p{Z}]+"
 
@@ -332,3 +334,41 @@ def model_queries() -> dict[str, str]:
     out["topic_categories"] = listed(("view", "click", "purchase", "refund", "error"), "ai_topic")
     out["stance_categories"] = listed(STANCES, "ai_political_stance")
     return out
+
+
+def stream_queries() -> dict[str, str]:
+    """End states of the streams over the whole tables."""
+    out = {}
+    out["stream_daily_topics"] = (
+        f"with {EVENT_REV} select cast({DAY} as varchar) as date, ai_topic as label, count(*)::bigint as n from rev"
+        " where ai_topic <> '' group by 1, 2"
+    )
+    out["stream_histogram"] = (
+        f"with {EVENT_REV} select least(greatest(trunc(bias_score_after * 5)::integer, 0), 4) as bin, count(*)::bigint as n from rev"
+        " where bias_score_after is not null group by 1"
+    )
+    out["stream_label_state"] = f"with {LABEL_EVENTS}, {LABEL_STATE} select * from state"
+    out["stream_first_seen"] = "select distinct user_id, event_type from events"
+    out["stream_daily_window"] = (
+        "select cast(cast(ts as date) as varchar) as date, event_type as label, count(*)::bigint as n from events group by cast(ts as date), event_type"
+        " having cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 1 hour"
+    )
+    out["stream_ingest"] = (
+        f"with recursive {EVENT_REV}, g as (select * from rev where abs(bias_score_after - bias_score_before) > 0.1 or bias_score_after > 0.3),"
+        " numbered as materialized (select article_url as article, original_revid, diff_before, diff_after,"
+        " case when trim(diff_after) <> '' then diff_after else diff_before end as t,"
+        " row_number() over (partition by article_url order by original_revid) as rn from g),"
+        " walk as (select article, rn, true as saved, [diff_before, diff_after] as seen from numbered where rn = 1"
+        " union all select n.article, n.rn, not list_contains(w.seen, n.t), case when list_contains(w.seen, n.t) then w.seen"
+        " else list_concat(w.seen, [n.diff_before, n.diff_after]) end from walk w join numbered n on n.article = w.article and n.rn = w.rn + 1)"
+        " select original_revid || '-0001' as id, article, diff_before, diff_after from numbered join (select article, rn from walk where saved)"
+        " using (article, rn)"
+    )
+    out["change_word_diff"] = (
+        f"with {EVENT_REV}, w as (select id, diff_before, diff_after, event_type, split_part(coalesce(nullif(diff_before, ''), diff_after), ' ', 3) as k"
+        " from rev join events on events.event_id = rev.original_revid)"
+        " select id, case when diff_before = '' then 'i:new i:' || event_type || ' i:' || k"
+        " when trim(diff_after) = '' then 'd:old d:' || event_type || ' d:' || k"
+        " else 'd:old i:new e:' || event_type || ' e:' || k end as script from w"
+    )
+    return out
