@@ -123,6 +123,11 @@ def nodes(text: Column) -> Column:
     return F.concat(templates(text), links(text), references(text))
 
 
+def may_hold_nodes(text: Column) -> Column:
+    """False only when the text holds no node at all. A cheap test before the patterns run."""
+    return F.contains(text, F.lit("{{")) | F.contains(text, F.lit("[[")) | F.lower(text).contains("<ref")
+
+
 def template_parts(body: Column) -> Column:
     """array<struct<key, value>> of a template body; parts without '=' are keyed by position."""
     # Bars inside a link do not separate parts: hide them, cut, show them again.

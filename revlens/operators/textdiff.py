@@ -109,8 +109,10 @@ def node_edits(pairs: DataFrame) -> DataFrame:
 
     Nodes equal on both sides cancel. What is left is matched by (kind, name) in order of
     appearance; links still alone are matched in order as a changed title, templates and
-    references still alone as a changed name when their bodies are equal.
+    references still alone as a changed name when their bodies are equal. All steps group by
+    (article, bucket, rev_seq, ...), so none of them moves a row.
     """
+    kind, name = F.col("kind"), F.col("name")
 
     def side(text: Column, sign: int) -> Column:
         return F.transform(
@@ -125,107 +127,72 @@ def node_edits(pairs: DataFrame) -> DataFrame:
         )
 
     leftover = (
-        pairs.filter(F.col("previous") != F.col("current"))
+        pairs.filter((F.col("previous") != F.col("current")) & markup.may_hold_nodes(F.col("previous")))
         .select(*REV, F.inline(F.concat(side(F.col("previous"), -1), side(F.col("current"), 1))))
         .groupBy(*REV, "kind", "name", "body")
         .agg(F.sum("sign").alias("net"), F.min("pos").alias("pos"))
         .filter(F.col("net") != 0)
     )
+    node = F.struct("pos", "name", "body")
 
-    def listed(wanted: Column) -> Column:
-        entry = F.struct("pos", "name", "body", F.abs("net").cast("int").alias("n"))
-        repeated = F.transform(
-            F.sort_array(F.collect_list(F.when(wanted, entry))), lambda e: F.array_repeat(e.dropFields("n"), e["n"])
-        )
-        return F.flatten(repeated)
+    def zipped(df: DataFrame, olds: Column, news: Column, *keys: str) -> DataFrame:
+        """k-th old node beside the k-th new node of each group."""
+        sides = df.groupBy(*REV, *keys).agg(olds.alias("olds"), news.alias("news"))
+        rows = sides.select(*REV, *keys, F.posexplode(F.arrays_zip("olds", "news")).alias("k", "m"))
+        return rows.select(*REV, *keys, "k", F.col("m.olds").alias("old"), F.col("m.news").alias("new"))
 
-    def matched(df: DataFrame, *keys: str) -> DataFrame:
-        sides = df.groupBy(*REV, *keys).agg(
-            listed(F.col("net") < 0).alias("olds"), listed(F.col("net") > 0).alias("news")
-        )
-        zipped = F.arrays_zip("olds", "news")
-        return sides.select(*REV, *keys, F.posexplode(zipped).alias("k", "m")).select(
-            *REV, *keys, "k", F.col("m.olds").alias("old"), F.col("m.news").alias("new")
-        )
+    def copies(wanted: Column) -> Column:
+        entry = F.struct(node.alias("node"), F.abs("net").cast("int").alias("n"))
+        listed = F.sort_array(F.collect_list(F.when(wanted, entry)))
+        return F.flatten(F.transform(listed, lambda e: F.array_repeat(e["node"], e["n"])))
 
-    by_name = matched(leftover, "kind", "name")
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
-    same_name = by_name.filter(both)
-    alone = by_name.filter(~both).select(
-        *REV,
-        "kind",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.coalesce("old.name", "new.name").alias("name"),
-                    F.coalesce("old.body", "new.body").alias("body"),
-                    F.coalesce("old.pos", "new.pos").alias("pos"),
-                    F.when(F.col("old").isNotNull(), -1).otherwise(1).alias("net"),
-                )
-            )
-        ),
+    by_name = zipped(leftover, copies(F.col("net") < 0), copies(F.col("net") > 0), "kind", "name")
+    # A pair found by name keeps a group of its own; nodes still alone meet by what else they share.
+    lone_key = F.when(kind == "Wikilink", F.lit("")).otherwise(F.coalesce("old.body", "new.body"))
+    regrouped = by_name.select(
+        *REV, "kind", "old", "new",
+        both.alias("same_name"),
+        F.when(both, F.concat_ws("\u0000", name, F.col("k").cast("string"))).otherwise(lone_key).alias("meet"),
     )
-    renamed_links = matched(alone.filter(F.col("kind") == "Wikilink"), "kind").filter(both)
-    renamed_rest = matched(alone.filter(F.col("kind") != "Wikilink"), "kind", "body").filter(both)
-
-    def field(df: DataFrame, name: Column, field: Column, before: Column, after: Column) -> DataFrame:
-        return df.select(
-            *REV,
-            F.col("new.pos").alias("pos"),
-            "k",
-            F.lit("").alias("part"),
-            "kind",
-            name.alias("name"),
-            field.alias("field"),
-            before.alias("before"),
-            after.alias("after"),
+    matched = zipped(
+        regrouped, F.sort_array(F.collect_list("old")), F.sort_array(F.collect_list("new")), "kind", "same_name", "meet"
+    ).filter(both)
+
+    def value(field: str, part: Column, sign: int, i: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"), part.alias("part"), F.lit(sign).alias("sign"), i.alias("i"), text.alias("value")
         )
 
-    text_field = F.when(F.col("kind") == "Wikilink", F.lit("text")).otherwise(F.lit("content"))
-    bodies = field(
-        same_name.filter(F.col("kind") != "Template"), F.col("name"), text_field, F.col("old.body"), F.col("new.body")
-    )
-    title = F.when(F.col("kind") == "Wikilink", F.lit("title")).otherwise(F.lit("name"))
-    renamed = [
-        field(df, F.col("old.name"), title, F.col("old.name"), F.col("new.name"))
-        for df in (renamed_links, renamed_rest)
-    ]
-    relabelled = field(
-        renamed_links, F.col("old.name"), F.lit("text"), F.col("old.body"), F.col("new.body")
-    )
+    def whole(field: str, of: str) -> Column:
+        none, first = F.lit(""), F.lit(0)
+        return F.array(
+            value(field, none, -1, first, F.col(f"old.{of}")), value(field, none, 1, first, F.col(f"new.{of}"))
+        )
 
-    def parts(body: Column, sign: int) -> Column:
+    def parts(of: str, sign: int) -> Column:
         return F.transform(
-            markup.template_parts(body),
-            lambda p, i: F.struct(
-                p["key"].alias("part"), p["value"].alias("value"), F.lit(sign).alias("sign"), i.alias("i")
-            ),
+            markup.template_parts(F.col(of)), lambda p, i: value("parameter", p["key"], sign, i, p["value"])
         )
 
-    def value(sign: int) -> Column:
+    values = (
+        F.when(kind == "Wikilink", F.concat(whole("title", "name"), whole("text", "body")))
+        .when(~F.col("same_name"), whole("name", "name"))
+        .when(kind == "Reference", whole("content", "body"))
+        .otherwise(F.concat(parts("old.body", -1), parts("new.body", 1)))
+    )
+
+    def last(sign: int) -> Column:
         # A part given twice counts with its last value.
-        wanted = F.when(F.col("sign") == sign, F.struct("i", "value"))
-        return F.coalesce(F.max(wanted)["value"], F.lit(""))
-
-    parameters = (
-        same_name.filter(F.col("kind") == "Template")
-        .select(
-            *REV,
-            F.col("new.pos").alias("pos"),
-            "k",
-            "kind",
-            "name",
-            F.inline(F.concat(parts(F.col("old.body"), -1), parts(F.col("new.body"), 1))),
+        return F.coalesce(F.max(F.when(F.col("sign") == sign, F.struct("i", "value")))["value"], F.lit(""))
+
+    edits = (
+        matched.select(
+            *REV, F.col("new.pos").alias("pos"), "k", "kind", F.col("old.name").alias("name"), F.inline(values)
         )
-        .groupBy(*REV, "pos", "k", "part", "kind", "name")
-        .agg(value(-1).alias("before"), value(1).alias("after"))
-        .select(*REV, "pos", "k", "part", "kind", "name", F.lit("parameter").alias("field"), "before", "after")
-    )
-    edits = parameters
-    for more in (bodies, *renamed, relabelled):
-        edits = edits.unionByName(more)
-    ordered = (
-        edits.filter(F.col("before") != F.col("after"))
+        .groupBy(*REV, "pos", "k", "kind", "name", "field", "part")
+        .agg(last(-1).alias("before"), last(1).alias("after"))
+        .filter(F.col("before") != F.col("after"))
         .groupBy(*REV)
         .agg(
             F.sort_array(
@@ -233,7 +200,7 @@ def node_edits(pairs: DataFrame) -> DataFrame:
             ).alias("edits")
         )
     )
-    return ordered.select(*REV, F.posexplode("edits").alias("change_seq", "e")).select(
+    return edits.select(*REV, F.posexplode("edits").alias("change_seq", "e")).select(
         *REV,
         "change_seq",
         F.concat_ws(":", F.lit("Node"), "e.kind", "e.field").alias("change_type"),

@@ -15,11 +15,11 @@ from revlens.streaming.live import BATCH, publish, published
 
 def number_after(saved: DataFrame, stored: DataFrame) -> DataFrame:
     """Row ids that go on after the ordinals a revision already has, so no stored row is replaced."""
-    taken = stored.groupBy("original_revid").agg(F.count("*").alias("_taken"))
+    taken = stored.groupBy("article", "original_revid").agg(F.count("*").alias("_taken"))
     inside = W.partitionBy("article", "original_revid").orderBy("change_ord")
     ordinal = F.row_number().over(inside) + F.coalesce(F.col("_taken"), F.lit(0))
     return (
-        saved.join(taken, "original_revid", "left")
+        saved.join(taken, ["article", "original_revid"], "left")
         .withColumn("id", F.format_string("%d-%04d", F.col("original_revid"), ordinal))
         .drop("_taken")
     )
