@@ -59,7 +59,8 @@ def plain_text(text: Column) -> Column:
     t = F.regexp_replace(t, r"\[[a-z]+://[^\s\]]+\s+([^\]]*)\]", "$1")
     t = F.regexp_replace(t, r"'{2,5}", "")
     t = F.regexp_replace(t, r"<[^<>]*>", "")
-    return strip(t)
+    # None of the patterns can match a text without these characters.
+    return strip(F.when(text.rlike(r"[<{\[]|''"), t).otherwise(text))
 
 
 def _peel(text: Column) -> Column:

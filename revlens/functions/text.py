@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # (?U) lets \s cover no-break space and other Unicode blanks; trim() knows only U+0020.
+_BLANKS = r"(?U)\s+"
 _EDGE_BLANKS = r"(?U)^\s+|\s+$"
 
 
@@ -46,7 +47,7 @@ def parse_day(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Split on runs of Unicode white space, no empty entries."""
-    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+    return F.array_remove(F.split(c, _BLANKS), "")
 
 
 def chart_label(c: Column) -> Column:
@@ -107,35 +108,45 @@ def nearest_position(text: Column, needle: Column, hint: Column) -> Column:
     """
     first = F.position(needle, text) - 1
     pieces = _pieces(text, needle)
+    # The hint travels in the state, so that it is computed once and not per occurrence.
     best = F.aggregate(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("best")),
+        F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("best"), hint.alias("hint")),
         lambda acc, piece: F.struct(
             (acc["next"] + F.length(piece) + F.length(needle)).alias("next"),
             F.when(
                 acc["best"].isNull()
-                | (
-                    F.abs(acc["next"] + F.length(piece) - hint) < F.abs(acc["best"] - hint)
-                ),
+                | (F.abs(acc["next"] + F.length(piece) - acc["hint"]) < F.abs(acc["best"] - acc["hint"])),
                 acc["next"] + F.length(piece),
             )
             .otherwise(acc["best"])
             .alias("best"),
+            acc["hint"].alias("hint"),
         ),
     )["best"]
     several = F.position(needle, text, first + 1 + F.length(needle)) > 0
     return F.when(_found(text, needle), F.when(hint.isNotNull() & several, best).otherwise(first))
 
 
-def context_window(before: Column, after: Column, content: Column, previous: Column) -> Column:
-    """The changed text with one length to its left and one to its right, cut at the borders."""
+def with_context_window(
+    df: DataFrame, name: str, before: Column, after: Column, content: Column, previous: Column
+) -> DataFrame:
+    """Add the changed text with one length to its left and one to its right, cut at the borders.
+
+    Of several places the one nearest to the old place of ``before`` counts. In steps, so
+    that each search through a text runs once.
+    """
     hint = F.when(non_blank(before) & _found(previous, before), F.position(before, previous) - 1)
-    at = nearest_position(content, after, hint)
-    size = F.length(after)
+    size, at = F.length(after), F.col("_at")
     start = F.greatest(F.lit(0), at - size)
     end = F.least(F.length(content), at + 2 * size)
     window = F.substring(content, start + 1, end - start)
-    return F.when(non_blank(after) & at.isNotNull(), window).otherwise(chosen_text(before, after))
+    return (
+        df.withColumn("_hint", hint)
+        .withColumn("_at", F.when(non_blank(after), nearest_position(content, after, F.col("_hint"))))
+        .withColumn(name, F.when(at.isNotNull(), window).otherwise(chosen_text(before, after)))
+        .drop("_hint", "_at")
+    )
 
 
 def sentences(c: Column) -> Column:

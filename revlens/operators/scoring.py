@@ -77,8 +77,8 @@ def token_counts(texts: DataFrame, *keys: str) -> DataFrame:
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing, trained and applied as joins.
 
-    ``weights``: (token, w) with w a map class -> log(count + 1). A class missing from the
-    map weighs log(1) = 0, so the table holds only pairs that occur.
+    ``weights``: (token, w0, w1, ...), one column log(count + 1) per class in the order of
+    ``classes``; NULL, worth log(1) = 0, where the class never uses the token.
     ``totals``: one row (prior, size) of maps class -> log prior, class -> log(tokens + vocabulary).
     """
 
@@ -90,7 +90,7 @@ class NaiveBayes:
         """``texts``: (label, text)."""
         counts = token_counts(texts, "label")
         weights = counts.groupBy("token").agg(
-            F.map_from_entries(F.collect_list(F.struct("label", F.log(F.col("n") + 1).alias("w")))).alias("w")
+            *[F.max(F.when(F.col("label") == c, F.log(F.col("n") + 1))).alias(f"w{i}") for i, c in enumerate(classes)]
         )
         per_class = counts.groupBy("label").agg(F.sum("n").alias("n_tokens"))
         docs = texts.groupBy("label").agg(F.count("*").alias("n_docs"))
@@ -119,8 +119,8 @@ class NaiveBayes:
         sums = counted.groupBy("key").agg(
             F.sum("n").alias("known"),
             *[
-                F.sum(F.col("n") * F.coalesce(F.try_element_at("w", F.lit(c)), F.lit(0.0))).alias(f"s{i}")
-                for i, c in enumerate(self.classes)
+                F.sum(F.col("n") * F.coalesce(F.col(f"w{i}"), F.lit(0.0))).alias(f"s{i}")
+                for i in range(len(self.classes))
             ],
         )
         model = self.totals.select(F.struct("prior", "size").alias("m")).scalar()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import markup
-from revlens.functions.text import context_window, sentences, words
+from revlens.functions.text import sentences, with_context_window, words
 from revlens.operators.sequence import BUCKET_WIDTH, with_previous
 
 REV = ["article", "bucket", "rev_seq"]
@@ -58,15 +58,23 @@ def sentence_edits(pairs: DataFrame) -> DataFrame:
     half their tokens agree; a change stores the new text on both sides.
     """
 
-    def side(text: Column, sign: int) -> Column:
+    def side(listed: Column, sign: int) -> Column:
         return F.transform(
-            sentences(prose(text)),
-            lambda s, i: F.struct(s.alias("sentence"), F.lit(sign).alias("sign"), i.alias("pos")),
+            listed, lambda s, i: F.struct(s.alias("sentence"), F.lit(sign).alias("sign"), i.alias("pos"))
         )
 
+    def repeats(listed: Column) -> Column:
+        return F.size(F.array_distinct(listed)) < F.size(listed)
+
+    old, new = F.col("old"), F.col("new")
+    # Where no text repeats a sentence, common ones are dropped before anything is exploded.
+    entries = F.when(repeats(old) | repeats(new), F.concat(side(old, -1), side(new, 1))).otherwise(
+        F.concat(side(F.array_except(old, new), -1), side(F.array_except(new, old), 1))
+    )
     net = (
         pairs.filter(F.col("previous") != F.col("current"))
-        .select(*REV, F.inline(F.concat(side(F.col("previous"), -1), side(F.col("current"), 1))))
+        .select(*REV, sentences(prose(F.col("previous"))).alias("old"), sentences(prose(F.col("current"))).alias("new"))
+        .select(*REV, F.inline(entries))
         .groupBy(*REV, "sentence")
         .agg(
             F.sum("sign").alias("net"),
@@ -87,14 +95,14 @@ def sentence_edits(pairs: DataFrame) -> DataFrame:
     )
     empty = F.lit("")
 
-    def edits(new: Column, old: Column) -> Column:
-        insert = _change("Insert", empty, new, "Inserted Sentence")
-        remove = _change("Remove", old, empty, "Removed Sentence")
-        change = _change("Change", new, new, "Changed Sentence")
+    def edits(came: Column, went: Column) -> Column:
+        insert = _change("Insert", empty, came, "Inserted Sentence")
+        remove = _change("Remove", went, empty, "Removed Sentence")
+        change = _change("Change", came, came, "Changed Sentence")
         return (
-            F.when(old.isNull(), F.array(insert))
-            .when(new.isNull(), F.array(remove))
-            .when(_similar(new, old), F.array(change))
+            F.when(went.isNull(), F.array(insert))
+            .when(came.isNull(), F.array(remove))
+            .when(_similar(came, went), F.array(change))
             .otherwise(F.array(insert, remove))
         )
 
@@ -230,5 +238,6 @@ def with_context(changes: DataFrame, pairs: DataFrame, *carried: str) -> DataFra
     ``carried`` names further columns of the revision to take along.
     """
     texts = pairs.select(*REV, "previous", "current", *carried)
-    window = context_window(F.col("diff_before"), F.col("diff_after"), F.col("current"), F.col("previous"))
-    return changes.join(texts, REV).withColumn("content", window).drop("previous", "current")
+    joined = changes.join(texts, REV)
+    sides = (F.col(c) for c in ("diff_before", "diff_after", "current", "previous"))
+    return with_context_window(joined, "content", *sides).drop("previous", "current")

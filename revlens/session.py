@@ -59,6 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(work_folder(spark), "revlens", f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand a table that is read by fewer tasks than there are cores to all of them.
+
+    Only a small table comes in so few pieces; one with many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the plan here."""
     work_folder(df.sparkSession)

@@ -242,7 +242,7 @@ def _hash_bias(text):
 
 def enriched_changes(spark, sf_dir):
     """The whole acquisition path, from service answers to rows of the revision table."""
-    revisions = history.parse_pages(fx.api_pages(spark, sf_dir))
+    revisions = written_table(history.parse_pages(fx.api_pages(spark, sf_dir)), "revisions")
     rows = enrich_plan.enrich(
         revisions, scoring.expression_scorer(_hash_bias), _hash_labels("t", TOPICS), _hash_labels("c", STANCES)
     )
@@ -263,8 +263,10 @@ def _naive_bayes(spark, sf_dir):
 
 
 def nb_train(spark, sf_dir):
-    weights = _naive_bayes(spark, sf_dir).weights
-    return rounded(weights.select("token", F.explode("w").alias("label", "weight")), "weight")
+    model = _naive_bayes(spark, sf_dir)
+    per_class = [F.struct(F.lit(c).alias("label"), F.col(f"w{i}").alias("weight")) for i, c in enumerate(model.classes)]
+    weights = model.weights.select("token", F.inline(F.array(*per_class))).filter("weight is not null")
+    return rounded(weights, "weight")
 
 
 def nb_score(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.schema import DISCOVERY_RESULT, STANCES
-from revlens.session import tune
+from revlens.session import spread, tune
 
 SPARK_HASH = "round(cast(conv(substr(md5({0}),1,8),16,10) as bigint)/4294967296D, 6)"
 DUCK_HASH = "round(('0x'||substr(md5({0}),1,8))::bigint/4294967296.0, 6)"
@@ -28,9 +28,14 @@ DESCRIPTIONS = (
 )
 
 
+# Tables with costly work per row, and the key to spread them by when they are one small file.
+SPREAD = {"documents": "doc_id", "events": "event_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def pick(index: str, values) -> str:

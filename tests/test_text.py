@@ -37,8 +37,8 @@ def test_context_window_against_loop(spark):
     rows = [(word(3), word(3), word(25), word(25)) for _ in range(3000)]
     rows += [("b", "a", "a..a..a", "..b"), ("b", "a", "a....a", "...b"), ("x", "", "abc", "abc"), ("", " ", " ", "")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, a string, c string, p string")
-    found = df.orderBy("i").select(text.context_window(F.col("b"), F.col("a"), F.col("c"), F.col("p"))).collect()
-    assert [r[0] for r in found] == [loop_context(*r) for r in rows]
+    found = text.with_context_window(df, "w", *(F.col(x) for x in "bacp")).orderBy("i").collect()
+    assert [r["w"] for r in found] == [loop_context(*r) for r in rows]
 
 
 def test_positions(spark):
