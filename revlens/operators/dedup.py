@@ -18,15 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from revlens.functions.text import chosen_text, text_key
-from revlens.session import cut_lineage
+from revlens.functions.text import chosen_text, non_blank, text_key
+from revlens.session import cut_lineage, written_table
 
 
 def change_keys(changes: DataFrame) -> DataFrame:
-    """(article, change_ord, own, old): digests of the chosen text and of the before-text."""
+    """(article, change_ord, own, old): digests of the chosen text and of the before-text.
+
+    A chosen text is never blank, so a blank before-text cannot rule anything out: its digest
+    is NULL, and the many pure insertions do not meet on one join key.
+    """
     before, after = F.col("diff_before"), F.col("diff_after")
     return changes.select(
-        "article", "change_ord", text_key(chosen_text(before, after)).alias("own"), text_key(before).alias("old")
+        "article",
+        "change_ord",
+        text_key(chosen_text(before, after)).alias("own"),
+        F.when(non_blank(before), text_key(before)).alias("old"),
     )
 
 
@@ -102,27 +109,29 @@ def skipped_changes(edges: DataFrame) -> DataFrame:
     return decided.filter(~F.col("kept")).select("article", "change_ord")
 
 
-def not_stored(changes: DataFrame, stored: DataFrame) -> DataFrame:
-    """Drop changes whose text a stored change of the article already holds on either side."""
-    seen = (
-        stored.select(
-            "article",
-            F.explode(F.array(text_key(F.col("diff_before")), text_key(F.col("diff_after")))).alias("own"),
-        )
-        .distinct()
-    )
+def seen_texts(stored: DataFrame) -> DataFrame:
+    """(article, own): digests of all texts the stored changes hold on either side."""
+    digests = F.array(*[F.when(non_blank(F.col(c)), text_key(F.col(c))) for c in ("diff_before", "diff_after")])
+    return stored.select("article", F.explode(digests).alias("own")).filter(F.col("own").isNotNull()).distinct()
+
+
+def not_seen(changes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Drop changes whose text the article already holds."""
     own = text_key(chosen_text(F.col("diff_before"), F.col("diff_after")))
     return changes.withColumn("own", own).join(seen, ["article", "own"], "left_anti").drop("own")
 
 
-def saved_changes(changes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def saved_changes(changes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The changes to save, all columns. Needs ``article``, ``change_ord`` and both texts.
 
-    ``changes`` is read several times; pass a table or a checkpoint, not a long plan.
+    ``changes`` is read several times; pass a table or a checkpoint, not a long plan. Changes
+    blank on both sides are never saved. ``seen`` holds the texts saved by earlier runs.
     """
-    if stored is not None:
-        changes = not_stored(changes, stored)
-    survivors = cut_lineage(first_of_text(change_keys(changes)))
+    changes = changes.filter(non_blank(F.col("diff_before")) | non_blank(F.col("diff_after")))
+    if seen is not None:
+        changes = not_seen(changes, seen)
+    # A written table: the joins below shuffle both sides, so that a key with many rows can be split.
+    survivors = written_table(first_of_text(change_keys(changes)), "survivors")
     skipped = skipped_changes(dependencies(survivors))
     winners = survivors.select("article", "change_ord").join(skipped, ["article", "change_ord"], "left_anti")
     return changes.join(winners, ["article", "change_ord"], "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.session import cut_lineage
+from revlens.session import cut_lineage, written_table
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,11 @@ def region_closure(triples: DataFrame, regions: DataFrame, names: Predicates = P
     """(region, node): every node that reaches the region in zero or more located-in steps.
 
     ``regions`` has one column ``region``. Each round joins only the nodes found last with
-    the edges; nodes seen before are left out, so cycles end. The edges are hashed by parent
-    once and stay so.
+    the edges; nodes seen before are left out, so cycles end. The edges are a written table
+    without a partitioning of its own: a short frontier is broadcast, and a parent that
+    holds a large share of all nodes can be split by the skew join.
     """
-    edges = relation(triples, names.located_in, "child", "parent").distinct()
-    edges = cut_lineage(edges.repartition("parent"))
+    edges = written_table(relation(triples, names.located_in, "child", "parent").distinct(), "edges")
     frontier = cut_lineage(regions.select("region", F.col("region").alias("node")).distinct())
     visited = frontier
     rounds = 0

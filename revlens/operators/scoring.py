@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from revlens.functions.scores import best_label
 from revlens.functions.text import non_blank, text_key, words
 from revlens.schema import NOT_AVAILABLE
+from revlens.session import written_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -77,61 +78,60 @@ def token_counts(texts: DataFrame, *keys: str) -> DataFrame:
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing, trained and applied as joins.
 
-    ``weights``: (token, w0, w1, ...), one column log(count + 1) per class in the order of
-    ``classes``; NULL, worth log(1) = 0, where the class never uses the token.
-    ``totals``: one row (prior, size) of maps class -> log prior, class -> log(tokens + vocabulary).
+    ``counts``: (token, n0, n1, ...), how often each class uses the token.
+    ``docs``: one row (d0, d1, ...), texts per class. Columns follow the order of ``classes``.
     """
 
-    def __init__(self, weights: DataFrame, totals: DataFrame, classes: Sequence[str]):
-        self.weights, self.totals, self.classes = weights, totals, list(classes)
+    def __init__(self, counts: DataFrame, docs: DataFrame, classes: Sequence[str]):
+        self.counts, self.docs, self.classes = counts, docs, list(classes)
 
     @classmethod
     def train(cls, texts: DataFrame, classes: Sequence[str]) -> "NaiveBayes":
-        """``texts``: (label, text)."""
-        counts = token_counts(texts, "label")
-        weights = counts.groupBy("token").agg(
-            *[F.max(F.when(F.col("label") == c, F.log(F.col("n") + 1))).alias(f"w{i}") for i, c in enumerate(classes)]
-        )
-        per_class = counts.groupBy("label").agg(F.sum("n").alias("n_tokens"))
-        docs = texts.groupBy("label").agg(F.count("*").alias("n_docs"))
-        vocabulary = weights.agg(F.count("*")).scalar()
-        # One row per class: the list of classes is the only thing gathered.
-        sums = docs.join(per_class, "label", "left").agg(
-            F.sum("n_docs").alias("all_docs"),
-            F.collect_list(F.struct("label", "n_docs", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))).alias("c"),
-        )
-        totals = sums.withColumn("v", vocabulary).select(
-            F.map_from_entries(
-                F.transform("c", lambda x: F.struct(x["label"], F.log(x["n_docs"] / F.col("all_docs"))))
-            ).alias("prior"),
-            F.map_from_entries(
-                F.transform("c", lambda x: F.struct(x["label"], F.log(x["n_tokens"] + F.col("v"))))
-            ).alias("size"),
-        )
-        return cls(weights, totals, classes)
+        """``texts``: (label, text). One shuffle, by token, after combining on the map side."""
+
+        def per_class(prefix: str) -> list[Column]:
+            return [F.count_if(F.col("label") == c).alias(f"{prefix}{i}") for i, c in enumerate(classes)]
+
+        exploded = texts.select("label", F.explode(tokens(F.col("text"))).alias("token"))
+        return cls(exploded.groupBy("token").agg(*per_class("n")), texts.agg(*per_class("d")), classes)
+
+    def saved(self) -> "NaiveBayes":
+        """The same model on written tables.
+
+        Training then runs once, and the join sees a table of known size: small ones are
+        broadcast, otherwise both sides are shuffled and a token of every text can be split.
+        """
+        return NaiveBayes(written_table(self.counts, "tokens"), written_table(self.docs, "classes"), self.classes)
 
     def log_scores(self, texts: DataFrame) -> DataFrame:
         """(key, scores) with scores a map class -> log likelihood plus prior; (key, text) in.
 
         Tokens outside the vocabulary do not count. A text without any known token gets the priors.
         """
-        counted = token_counts(texts, "key").join(self.weights, "token")
-        sums = counted.groupBy("key").agg(
-            F.sum("n").alias("known"),
-            *[
-                F.sum(F.col("n") * F.coalesce(F.col(f"w{i}"), F.lit(0.0))).alias(f"s{i}")
-                for i in range(len(self.classes))
-            ],
+        every = range(len(self.classes))
+        # log((n + 1) / (tokens + vocabulary)) is summed as log(n + 1) here and a multiple of the rest below.
+        sums = (
+            token_counts(texts, "key")
+            .join(self.counts, "token")
+            .groupBy("key")
+            .agg(F.sum("n").alias("known"), *[F.sum(F.col("n") * F.log(F.col(f"n{i}") + 1)).alias(f"s{i}") for i in every])
+        )
+        sizes = self.counts.agg(F.struct(F.count("*").alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in every]))
+        docs = self.docs.select(F.struct(*[f"d{i}" for i in every]))
+        joined = (
+            texts.select("key")
+            .join(sums, "key", "left")
+            .withColumn("t", sizes.scalar())
+            .withColumn("d", docs.scalar())
         )
-        model = self.totals.select(F.struct("prior", "size").alias("m")).scalar()
-        joined = texts.select("key").join(sums, "key", "left").withColumn("m", model)
+        all_docs = sum((F.col(f"d.d{i}") for i in every), F.lit(0))
 
-        def score(i: int, c: str) -> Column:
-            prior = F.try_element_at("m.prior", F.lit(c))
-            size = F.try_element_at("m.size", F.lit(c))
+        def score(i: int) -> Column:
+            prior = F.log(F.col(f"d.d{i}") / all_docs)
+            size = F.log(F.coalesce(F.col(f"t.t{i}"), F.lit(0)) + F.col("t.v"))
             return prior + F.coalesce(F.col(f"s{i}") - F.col("known") * size, F.lit(0.0))
 
-        pairs = [x for i, c in enumerate(self.classes) for x in (F.lit(c), score(i, c))]
+        pairs = [x for i, c in enumerate(self.classes) for x in (F.lit(c), score(i))]
         return joined.select("key", F.create_map(*pairs).alias("scores"))
 
     def __call__(self, texts: DataFrame) -> DataFrame:

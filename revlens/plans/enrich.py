@@ -61,8 +61,8 @@ def enrich(
     """
     changes = written_table(clean_changes(revisions), "changes")
     gated = written_table(material_changes(score_changes(changes, bias)), "gated")
-    known = stored.withColumnRenamed("article_url", "article") if stored is not None else None
-    saved = dedup.saved_changes(gated, known)
+    seen = None if stored is None else dedup.seen_texts(stored.withColumnRenamed("article_url", "article"))
+    saved = dedup.saved_changes(gated, seen)
     named = dedup.with_row_id(saved.withColumnRenamed("revid", "original_revid"))
     named = written_table(named, "saved")
     contexts = scoring.distinct_texts(named, "content")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.geo import normalised, synthetic_point
+from revlens.schema import DISCOVERY_RESULT
 from revlens.session import cut_lineage
 
 
-def read_bindings(spark, path: str) -> DataFrame:
+def read_bindings(spark: SparkSession, path: str) -> DataFrame:
     """Landed discovery results as (url, coord); several files are read by several tasks."""
-    from revlens.schema import DISCOVERY_RESULT
-
     return parse_bindings(spark.read.schema(DISCOVERY_RESULT).json(path, multiLine=True))
 
 
@@ -40,6 +39,11 @@ def upsert(stored: DataFrame, writes: DataFrame, key: str, order: str) -> DataFr
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*stored.columns))
 
 
+def refresh(articles: DataFrame, path: str) -> None:
+    """Replace the whole table at ``path``; the new rows must not be read from there."""
+    articles.write.mode("overwrite").parquet(path)
+
+
 def fill_coordinates(articles: DataFrame) -> DataFrame:
     """Upper-case the given points and give every other article a repeatable point of its own.
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from revlens.operators.dedup import saved_changes
+from revlens.operators.dedup import saved_changes, seen_texts
 from revlens.session import written_table
 from revlens.streaming.live import BATCH, publish, published
 
@@ -26,19 +26,27 @@ def number_after(saved: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def ingest_changes(changes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append the new changes of each micro-batch to the table at ``path``.
+    """Append the new changes of each micro-batch to ``path/rows``.
 
     Needs article, original_revid, change_ord, diff_before and diff_after; other columns are
     carried along. Within a batch ``change_ord`` decides which of two equal texts is first;
-    between batches the earlier batch does. A repeated batch sees only older ones, so it
-    writes the same rows again.
+    between batches the earlier batch does. The texts saved so far are kept as digests in
+    ``path/seen``, so a batch never reads stored texts again. A repeated batch sees only
+    older ones, so it writes the same rows again.
     """
-    saved_schema = StructType(changes.schema.fields).add("id", "string")
+    rows = StructType([*changes.schema.fields, StructField("id", StringType())])
+    digests = StructType([f for f in rows.fields if f.name == "article"] + [StructField("own", StringType())])
 
     def keep_new(batch: DataFrame, number: int) -> DataFrame:
         spark = batch.sparkSession
+
+        def older(name: str, schema: StructType) -> DataFrame:
+            return published(spark, f"{path}/{name}", schema).filter(F.col(BATCH) < number).drop(BATCH)
+
         fresh = written_table(batch, "batch")
-        stored = published(spark, path, saved_schema).filter(F.col(BATCH) < number)
-        return number_after(saved_changes(fresh, stored), stored).select(*saved_schema.names)
+        saved = saved_changes(fresh, older("seen", digests))
+        named = written_table(number_after(saved, older("rows", rows)).select(*rows.names), "new")
+        seen_texts(named).write.mode("overwrite").parquet(f"{path}/seen/{BATCH}={number}")
+        return named
 
-    return publish(changes, path, checkpoint, "append", keep_new, every)
+    return publish(changes, f"{path}/rows", checkpoint, "append", keep_new, every)

@@ -264,14 +264,14 @@ def _naive_bayes(spark, sf_dir):
 
 def nb_train(spark, sf_dir):
     model = _naive_bayes(spark, sf_dir)
-    per_class = [F.struct(F.lit(c).alias("label"), F.col(f"w{i}").alias("weight")) for i, c in enumerate(model.classes)]
-    weights = model.weights.select("token", F.inline(F.array(*per_class))).filter("weight is not null")
-    return rounded(weights, "weight")
+    per_class = [F.struct(F.lit(c).alias("label"), F.col(f"n{i}").alias("n")) for i, c in enumerate(model.classes)]
+    used = model.counts.select("token", F.inline(F.array(*per_class))).filter("n > 0")
+    return used.select("token", "label", F.round(F.log(F.col("n") + 1), 6).alias("weight"))
 
 
 def nb_score(spark, sf_dir):
     texts = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    found = _naive_bayes(spark, sf_dir).log_scores(texts)
+    found = _naive_bayes(spark, sf_dir).saved().log_scores(texts)
     return found.select(
         F.col("key").alias("doc_id"),
         F.round(F.element_at("scores", F.lit("1")) - F.element_at("scores", F.lit("0")), 6).alias("log_odds"),
@@ -281,7 +281,7 @@ def nb_score(spark, sf_dir):
 def quality_report(spark, sf_dir):
     """Naive Bayes against the true labels of the documents it was trained on."""
     documents = _labelled_documents(spark, sf_dir)
-    probs = _naive_bayes(spark, sf_dir)(documents.select(F.col("doc_id").alias("key"), "text"))
+    probs = _naive_bayes(spark, sf_dir).saved()(documents.select(F.col("doc_id").alias("key"), "text"))
     guessed = probs.select(F.col("key").alias("doc_id"), scores.best_label(F.col("probs")).alias("ai"))
     counts = (
         documents.select("doc_id", F.col("label").alias("human"))
@@ -422,7 +422,7 @@ def stream_ingest(spark, sf_dir):
     )
     path = scratch_path(spark, "ingest")
     ingest.ingest_changes(changes, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("id", "article", "diff_before", "diff_after")
+    return spark.read.parquet(f"{path}/table/rows").select("id", "article", "diff_before", "diff_after")
 
 
 def queries() -> dict[str, Query]:

@@ -21,9 +21,9 @@ def one_by_one(rows):
     return kept
 
 
-def run(spark, rows, stored=None):
+def run(spark, rows, seen=None):
     changes = cut_lineage(spark.createDataFrame(rows, SCHEMA))
-    return {(r["article"], r["change_ord"]) for r in dedup.saved_changes(changes, stored).collect()}
+    return {(r["article"], r["change_ord"]) for r in dedup.saved_changes(changes, seen).collect()}
 
 
 def random_rows(rng, articles, length, letters):
@@ -78,10 +78,19 @@ def test_stored_rows_count_as_saved(spark):
     later = [r for r in rows if r[1] >= 5]
     kept_first = one_by_one(first)
     stored = spark.createDataFrame([r for r in first if (r[0], r[1]) in kept_first], SCHEMA)
-    got = run(spark, later, stored) | kept_first
+    got = run(spark, later, dedup.seen_texts(stored)) | kept_first
     assert got == one_by_one(rows)
 
 
+def test_insertions_share_no_join_key(spark):
+    keys = dedup.change_keys(spark.createDataFrame([("a", 1, 1, "", "x"), ("a", 2, 1, " ", "y"), ("a", 3, 1, "z", "")], SCHEMA))
+    assert [r["old"] is None for r in keys.orderBy("change_ord").collect()] == [True, True, False]
+
+
+def test_blank_on_both_sides_is_never_saved(spark):
+    assert run(spark, [("a", 1, 1, "", " "), ("a", 2, 1, "", "x")]) == {("a", 2)}
+
+
 def test_row_ids(spark):
     rows = [("a", 1, 7, "", "x"), ("a", 2, 7, "", "y"), ("a", 3, 8, "", "z")]
     ids = dedup.with_row_id(spark.createDataFrame(rows, SCHEMA)).select("id").collect()

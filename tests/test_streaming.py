@@ -24,7 +24,7 @@ def test_ingest_equals_loop_over_batches(spark, tmp_path):
         frame.coalesce(1).write.json(f"{tmp_path}/in/{i}")
         stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/*")
         ingest.ingest_changes(stream, f"{tmp_path}/table", f"{tmp_path}/ck").awaitTermination()
-    table = spark.read.parquet(f"{tmp_path}/table")
+    table = spark.read.parquet(f"{tmp_path}/table/rows")
     got = {(r["article"], r["change_ord"]) for r in table.collect()}
     arrival = {}
     for b, batch in enumerate(batches):
