@@ -43,6 +43,8 @@ def dense_sequence(df: DataFrame, key: str, order: str, name: str, width: int =
     sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # Hashed by key alone after the window; left so, the join would bring a whole key together again.
+    offsets = offsets.repartition(key, "_range")
     inside = W.partitionBy(key, "_range").orderBy(order)
     return (
         ranged.join(offsets, [key, "_range"])

@@ -43,6 +43,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     before = W.partitionBy("article").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
     sizes = revs.select("article", "page_no", F.size("revs").alias("n"))
     offsets = sizes.select("article", "page_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Hashed by article alone after the window; left so, the join would bring a whole article together.
+    offsets = offsets.repartition("article", "page_no")
     rows = revs.select("article", "page_no", F.posexplode("revs").alias("pos", "rev"))
     return rows.join(offsets, ["article", "page_no"]).select(
         "article",

@@ -34,6 +34,20 @@ def test_history_pages(spark, tmp_path):
     ]
 
 
+def test_page_texts_are_not_gathered_by_article(spark):
+    """Without broadcast, texts are hashed by page; only page sizes are brought together per article."""
+    pages = spark.createDataFrame([("a", 0, "{}")], "article string, page_no long, body string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.parse_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    exchanges = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    by_article_alone = [e for e in exchanges if "page_no" not in e.split(")")[0]]
+    assert len(exchanges) == 3 and len(by_article_alone) == 1
+
+
 def test_bindings(spark, tmp_path):
     path = tmp_path / "found.json"
     path.write_text(json.dumps({"results": {"bindings": [

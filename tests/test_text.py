@@ -57,6 +57,10 @@ def test_timestamps(spark):
     assert column(spark, values, text.usable_timestamp) == [True, False, False, False, True, True, None]
 
 
+def test_parse_day(spark):
+    assert [str(d) if d else None for d in column(spark, ["2024-02-29", "29.02.2024", None], text.parse_day)] == ["2024-02-29", None, None]
+
+
 def test_highlight_and_line(spark):
     df = spark.createDataFrame(
         [("a\nb\nb c", "b"), ("a", ""), ("", "a"), ("a\nb", "a\nb"), ("abc", "z")], "c string, t string"
