@@ -73,17 +73,18 @@ class Sequence:
         """Place of each value within [begin, end), or -1: the search for the successor, which must equal it."""
         v = values.astype(U)
         high, low = (v >> U(self.low)).astype(np.int64), v & U((1 << self.low) - 1)
-        at = np.where(high > 0, self._select(np.maximum(high - 1, 0)) - high + 1, 0)
-        at = np.maximum(at, begin)
-        out = np.full(len(v), -1, np.int64)
-        going = np.flatnonzero(at < end)
+        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0)) - high + 1, 0)
+        hi = np.minimum(self._select(high) - high, end)  # values of this high part lie in [lo, hi)
+        lo = np.maximum(lo, begin)
+        stop, going = hi.copy(), np.flatnonzero(lo < hi)
         while len(going):
-            here = at[going]
-            bit = high[going] + here  # where the value stands if its high part is the same
-            same = (self.high[bit >> 6] >> (bit & 63).astype(U) & U(1)).astype(bool)
-            got = self._low(here)
-            hit = same & (got == low[going])
-            out[going[hit]] = here[hit]
-            at[going] = here + 1
-            going = going[same & (got < low[going]) & (here + 1 < end[going])]
+            mid = (lo[going] + hi[going]) >> 1
+            less = self._low(mid) < low[going]
+            lo[going] = np.where(less, mid + 1, lo[going])
+            hi[going] = np.where(less, hi[going], mid)
+            going = going[lo[going] < hi[going]]
+        out = np.full(len(v), -1, np.int64)
+        near = np.flatnonzero(lo < stop)
+        hit = near[self._low(lo[near]) == low[near]]
+        out[hit] = lo[hit]
         return out
