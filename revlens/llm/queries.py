@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import lm, simhash
+from revlens.llm import language, lm, mixing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,16 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_shares(spark, sf_dir):
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_lm_scores(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op8_page_languages(spark, sf_dir):
+    return language.page_languages(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_lm_scores, op10_simhash)}
+    return {f.__name__: f for f in (op2_mix_shares, op3_quality, op4_lm_scores, op8_page_languages, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

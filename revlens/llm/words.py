@@ -20,6 +20,7 @@ _draw = np.random.Generator(np.random.PCG64(42))
 TABLE = _draw.integers(1, 1 << 63, 256, np.uint64)
 TABLE[65:91] = TABLE[97:123]
 TABLE[list(SEPARATORS)] = 0
+_ALNUM = np.array([chr(k).isascii() and chr(k).isalnum() for k in range(256)])
 GAP = np.isin(np.arange(256), list(SEPARATORS))
 
 
@@ -44,21 +45,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    def __init__(self):
+    """plain: words end at separators; else every ASCII byte that is no letter or digit ends them too."""
+
+    def __init__(self, plain: bool = True):
+        self.gap = GAP if plain else ~(_ALNUM | (np.arange(256) > 127))
+        self.table = np.where(self.gap, U(0), TABLE)
         self.up, self.down = _powers(_M, PIECE), _powers(pow(_M, -1, 1 << 64), PIECE)
 
     def _piece(self, data: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(digests, starts) of the words; fresh: places where a text begins."""
         if len(data) > len(self.up):
             self.up, self.down = _powers(_M, len(data)), _powers(pow(_M, -1, 1 << 64), len(data))
-        letter = ~GAP[data]
+        letter = ~self.gap[data]
         begins = letter.copy()
         begins[1:] &= ~letter[:-1]
         begins[fresh] = letter[fresh]
         start = np.flatnonzero(begins)
         if not len(start):
             return np.empty(0, U), start
-        part = TABLE[data] * self.up[: len(data)]
+        part = self.table[data] * self.up[: len(data)]
         return mix(np.add.reduceat(part, start) * self.down[start]), start
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
