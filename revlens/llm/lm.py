@@ -33,7 +33,7 @@ CHUNK = 1 << 22
 #: Different words a counting task holds before it hands them on.
 KEPT = 1 << 20
 #: n-grams of a shard, before equal ones are merged.
-SHARD = 1 << 21
+SHARD = 1 << 19
 #: Quantisation: steps of 1/STEP in the binary logarithm.
 STEP = 1000.0
 END = 0
@@ -196,7 +196,7 @@ def build_shards(grams: DataFrame, edges: np.ndarray, words: int, order: int, fo
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        cols, most = [], 1 << 22
+        cols, most = [], 1 << 21
         for blob in table.column("grams"):
             cols.append(_unpack(blob.as_py(), order))
             if sum(c.shape[1] for c in cols) > most:
