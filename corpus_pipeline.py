@@ -6,24 +6,50 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import revlens
-from revlens.llm import simhash
+from revlens.llm import decontam, language, mixing, quality, simhash
 from revlens.session import written_table
 
 # Python workers may start in another folder: send the helpers along instead of importing them.
 cloudpickle.register_pickle_by_value(revlens)
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the fixed rules or look unlike the trusted texts go."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go; the source stands for the host, the column lang for the markup."""
+    return language.in_known_language(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, with the number of copies."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

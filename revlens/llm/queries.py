@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import language, lm, mixing, quality, simhash
+from revlens.llm import decontam, language, lm, mixing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_lm_scores(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_page_languages(spark, sf_dir):
     return language.page_languages(table(spark, sf_dir, "pages"))
 
@@ -36,7 +40,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_shares, op3_quality, op4_lm_scores, op8_page_languages, op10_simhash)}
+    return {f.__name__: f for f in (op2_mix_shares, op3_quality, op4_lm_scores, op6_decontamination, op8_page_languages, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
