@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontam, language, lm, mixing, quality, simhash
+from revlens.llm import decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of op1 and the vocabulary file of op5.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_url_filter(spark, sf_dir):
+    """The given rules, then a block list of all hosts of the table that carry a suspect word."""
+    pages = table(spark, sf_dir, "pages")
+    rules = urls.build(spark.createDataFrame(list(URL_RULES), "rule string, verdict string"))
+    return urls.judge(pages, rules, urls.build(urls.suspect_hosts(pages)))
+
+
 def op2_mix_shares(spark, sf_dir):
     return mixing.shares(table(spark, sf_dir, "documents"))
 
@@ -27,20 +39,38 @@ def op4_lm_scores(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licence_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op8_page_languages(spark, sf_dir):
     return language.page_languages(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_shares, op3_quality, op4_lm_scores, op6_decontamination, op8_page_languages, op10_simhash)}
+    found = (
+        op1_url_filter, op2_mix_shares, op3_quality, op4_lm_scores, op5_token_counts,
+        op6_decontamination, op7_licence_scan, op8_page_languages, op9_warc, op10_simhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
