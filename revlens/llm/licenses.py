@@ -31,7 +31,7 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("redistributions", "redistribution"),
     ("noncommercial", "non commercial"), ("merchantability", "merchantibility"), ("version", "v"), ("ver", "v"),
 )
-COPYRIGHT = r"(?im)^[ \t]*(?:[#*/;-]+[ \t]*)?(?:copyright\b|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?dim)^[ \t]*(?:[#*/;-]+[ \t]*)?(?:copyright\b|\(c\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -40,7 +40,7 @@ def canonical(text: Column) -> Column:
     words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", " \n "), F.lit(" "))
     for old, new in SPELLINGS:
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    words = F.regexp_replace(words, r" v (?=\d)", " v")
+    words = F.regexp_replace(words, r" v (\d)", " v$1")
     return F.regexp_replace(F.regexp_replace(words, r" *\n *", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 

@@ -71,7 +71,3 @@ def queries() -> dict[str, Query]:
         op6_decontamination, op7_licence_scan, op8_page_languages, op9_warc, op10_simhash,
     )
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
