@@ -39,13 +39,13 @@ def sink(path: str):
     """Output stream at an address; missing folders are made."""
     store, inner = _store(path)
     store.create_dir(os.path.dirname(inner), recursive=True)
-    return store.open_output_stream(inner)
+    return store.open_output_stream(inner, compression=None)
 
 
 def source(path: str):
     """Sequential input stream at an address."""
     store, inner = _store(path)
-    return store.open_input_stream(inner)
+    return store.open_input_stream(inner, compression=None)
 
 
 def remove(path: str) -> None:
@@ -59,7 +59,7 @@ def mapped(path: str) -> memoryview:
     if isinstance(store, fs.LocalFileSystem):
         with open(inner, "rb") as f:
             return _map(f)
-    with tempfile.TemporaryFile() as copy, store.open_input_stream(inner) as stream:
+    with tempfile.TemporaryFile() as copy, store.open_input_stream(inner, compression=None) as stream:
         while chunk := stream.read(1 << 22):
             copy.write(chunk)
         copy.flush()
