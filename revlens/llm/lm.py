@@ -148,13 +148,15 @@ def _windows(ids: np.ndarray, size: np.ndarray, order: int, begin: int, filler:
     return [seq[at + k] for k in range(order)]
 
 
-def _levels(cols: list[np.ndarray], weight: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level: (keys (parent place, word) in order, counts, place of each row's key)."""
-    parent = cols[0]
-    for col in cols[1:]:
-        key, inverse = np.unique(parent.astype(np.uint64) << np.uint64(32) | col.astype(np.uint64), return_inverse=True)
-        yield key, np.bincount(inverse, weight, len(key)).astype(np.int64), inverse
-        parent = inverse
+def _levels(cols: list[np.ndarray], weight: np.ndarray | None, filler: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Level by level: (keys (parent place, word) in order, counts); rows end at the filler."""
+    parent, cols = cols[0], list(cols[1:])
+    while cols:
+        if filler is not None:
+            real = cols[0] != filler
+            parent, weight, cols = parent[real], weight[real], [c[real] for c in cols]
+        key, parent = np.unique(parent.astype(np.uint64) << np.uint64(32) | cols.pop(0).astype(np.uint64), return_inverse=True)
+        yield key, np.bincount(parent, weight, len(key)).astype(np.int64)
 
 
 def _pack(cols: list[np.ndarray]) -> bytes:
@@ -173,7 +175,7 @@ def count_ngrams(texts: DataFrame, files: list[tuple], edges: np.ndarray, order:
         for _, h, size in _chunks(batches, "text"):
             ids, _ = lexicon.read(h)
             cols = _windows(ids, size, order, lexicon.size + 1, lexicon.size + 2)
-            levels = [(key, n) for key, n, _ in _levels(cols, None)]
+            levels = list(_levels(cols, None))
             key, n = levels[-1]
             out = []
             for above, _ in reversed([(None, None), *levels[:-1]]):
@@ -207,18 +209,13 @@ def build_shards(grams: DataFrame, edges: np.ndarray, words: int, order: int, fo
         parents = (int(edges[shard + 1]) if shard + 1 < len(edges) else universe) - low
         cols[0] = cols[0] - low
         arrays, counts, seen = {}, {}, []
-        for level, (key, n, inverse) in enumerate(_levels(cols, weight), 2):
+        for level, (key, n) in enumerate(_levels(cols, weight, filler), 2):
             parent, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            real = np.flatnonzero(word != filler)
-            whole = (key, n)
-            key, n, parent, word = key[real], n[real], parent[real], word[real]
             seen.append([int((n == k).sum()) for k in (1, 2, 3, 4)])
             begin = np.searchsorted(parent, np.arange(parents + 1))
             arrays |= {f"key{level}.{k}": v for k, v in encode(parent * universe + word, parents * universe, True).items()}
             arrays |= {f"begin{level}.{k}": v for k, v in encode(begin, len(key) + 1, False).items()}
             counts[f"n{level}"], counts[f"begin{level}"] = n, begin
-            if len(real) < len(whole[0]) and level < order:  # deeper levels count places among the kept ones
-                raise AssertionError("fillers stand at the last level only")
             parents = len(key)
         levels, raw = fresh(folder, "levels"), fresh(folder, "counts")
         write_arrays(levels, arrays)
