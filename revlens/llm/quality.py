@@ -124,5 +124,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a good verdict, with their own columns."""
-    (verdict,) = free(docs, "verdict")
-    return judge(docs, labels.filter("quality = 1"), id_col, text_col).filter(F.col(verdict)["kept"]).select(*docs.columns)
+    verdict, row = free(docs, "verdict", "row")
+    rows = judge(docs, labels.filter("quality = 1"), id_col, text_col)
+    # A filter on plain columns would be moved below all steps of judge and compute them once for
+    # every element they are used with; a row number, which must not move, holds it in place.
+    rows = rows.withColumn(row, F.monotonically_increasing_id())
+    return rows.filter(F.col(verdict)["kept"] & (F.col(row) >= 0)).select(*docs.columns)
