@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.llm import decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
 
@@ -53,8 +54,13 @@ def op7_licence_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
 
-def op8_page_languages(spark, sf_dir):
-    return language.page_languages(table(spark, sf_dir, "pages"))
+def op8_languages(spark, sf_dir):
+    """All documents (doc_id; their column lang is the declaration, their source the host) and all pages (page_id)."""
+    docs = language.identify(
+        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    )
+    pages = language.page_languages(table(spark, sf_dir, "pages"))
+    return docs.withColumnRenamed("id", "doc_id").unionByName(pages, allowMissingColumns=True)
 
 
 def op9_warc(spark, sf_dir):
@@ -68,6 +74,6 @@ def op10_simhash(spark, sf_dir):
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_mix_shares, op3_quality, op4_lm_scores, op5_token_counts,
-        op6_decontamination, op7_licence_scan, op8_page_languages, op9_warc, op10_simhash,
+        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash,
     )
     return {f.__name__: f for f in found}
