@@ -45,7 +45,9 @@ def _degrees(units: Column) -> Column:
 
 
 def synthetic_point(url: Column, salt: Column) -> Column:
-    """A repeatable point inside the fill box, five decimals."""
+    """A repeatable point inside the fill box, five decimals; each further salt adds two, so there is always room."""
     lon = F.lit(FILL_LON_MIN).cast("long") + _offset(url, salt, "lon")
     lat = F.lit(FILL_LAT_MIN).cast("long") + _offset(url, salt, "lat")
-    return F.concat(F.lit("POINT("), _degrees(lon), F.lit(" "), _degrees(lat), F.lit(")"))
+    more = [F.substring(F.md5(F.concat_ws("|", url, salt.cast("string"), F.lit(f"{axis} digits"))), 1, 32) for axis in ("lon", "lat")]
+    more = [F.substring(F.translate(m, "abcdef", "012345"), F.lit(1), F.least(2 * salt, F.lit(32))) for m in more]
+    return F.concat(F.lit("POINT("), _degrees(lon), more[0], F.lit(" "), _degrees(lat), more[1], F.lit(")"))

@@ -18,21 +18,42 @@ from revlens.functions.text import strip
 
 # One template without braces inside: name, then everything after the first bar.
 INNER_TEMPLATE = r"\{\{([^{}|]*)(\|[^{}]*)?\}\}"
-# Stand-ins for the braces of a peeled template and for bars that belong to a link.
-_OPEN, _CLOSE, _BAR = "\u0001", "\u0002", "\u0003"
+# Stand-ins for the braces of a peeled template and for bars that belong to a link. Where the
+# text holds one of these characters itself, it is written as the escape and a letter meanwhile.
+_OPEN, _CLOSE, _BAR, _ESCAPE = "\u0001", "\u0002", "\u0003", "\u0004"
+_ESCAPED = {_ESCAPE: "e", _OPEN: "o", _CLOSE: "c", _BAR: "b"}
 
 
 def template_depth(text: Column) -> Column:
-    """Deepest nesting of ``{{`` / ``}}`` in the text, 0 when it holds none."""
+    """Deepest nesting of closed ``{{`` / ``}}`` pairs in the text, 0 when it holds none.
+
+    Closing pairs that close nothing all stand before opening pairs that are never closed. Up to
+    the last of the former a walk from the start sees closed pairs only, after it one from the end.
+    """
     braces = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}"), F.lit(0))
-    walked = F.aggregate(
-        braces,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, b: F.struct(
-            F.when(b == "{{", acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, F.lit(0))).alias("now"),
-            F.when(b == "{{", F.greatest(acc["top"], acc["now"] + 1)).otherwise(acc["top"]).alias("top"),
-        ),
-    )["top"]
+    zero = F.lit(0)
+
+    def forward(acc, b):
+        opens, at = b == "{{", acc["at"] + 1
+        stray = ~opens & (acc["now"] == 0)
+        now = F.when(opens, acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, zero))
+        return F.struct(
+            now.alias("now"),
+            F.greatest(acc["top"], now).alias("top"),
+            at.alias("at"),
+            F.when(stray, acc["top"]).otherwise(acc["kept"]).alias("kept"),
+            F.when(stray, at).otherwise(acc["cut"]).alias("cut"),
+        )
+
+    def backward(acc, b):
+        now = F.when(b == "}}", acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, zero))
+        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+
+    head = F.aggregate(braces, F.struct(*[zero.alias(n) for n in ("now", "top", "at", "kept", "cut")]), forward, lambda acc: F.struct(acc["kept"].alias("kept"), acc["cut"].alias("cut")))
+    tail = F.aggregate(
+        F.reverse(F.slice(braces, head["cut"] + 1, F.size(braces))), F.struct(zero.alias("now"), zero.alias("top")), backward, lambda acc: acc["top"]
+    )
+    walked = F.greatest(head["kept"], tail)
     return F.when(F.contains(text, F.lit("{{")), walked).otherwise(F.lit(0))
 
 
@@ -43,7 +64,9 @@ def _levels(text: Column) -> Column:
 
 def without_templates(text: Column) -> Column:
     peeled = F.aggregate(
-        _levels(text), text, lambda acc, _: F.regexp_replace(acc, r"\{\{[^{}]*\}\}", "")
+        _levels(text),
+        text,
+        lambda acc, _: F.when(acc.rlike(r"\{\{[^{}]*\}\}"), F.regexp_replace(acc, r"\{\{[^{}]*\}\}", "")).otherwise(acc),
     )
     return F.when(F.contains(text, F.lit("{{")), peeled).otherwise(text)
 
@@ -76,17 +99,28 @@ def _peel(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("{{")), walked).otherwise(F.array().cast("array<string>"))
 
 
+def escaped(text: Column) -> Column:
+    """Free the characters of the stand-ins."""
+    out = text
+    for char, letter in _ESCAPED.items():
+        out = F.replace(out, F.lit(char), F.lit(_ESCAPE + letter))
+    return F.when(text.rlike("[\u0001-\u0004]"), out).otherwise(text)
+
+
 def shown(text: Column) -> Column:
-    """Turn the stand-ins of this module back into markup."""
+    """Turn the stand-ins of this module back into markup, then the escaped characters into themselves."""
     back = F.replace(text, F.lit(_OPEN), F.lit("{{"))
     back = F.replace(back, F.lit(_CLOSE), F.lit("}}"))
-    return F.replace(back, F.lit(_BAR), F.lit("|"))
+    back = F.replace(back, F.lit(_BAR), F.lit("|"))
+    for char, letter in reversed(_ESCAPED.items()):
+        back = F.replace(back, F.lit(_ESCAPE + letter), F.lit(char))
+    return back
 
 
 def templates(text: Column) -> Column:
     """array<struct<kind, name, body>>; body is what follows the first bar."""
     return F.transform(
-        _peel(text),
+        _peel(escaped(text)),
         lambda t: F.struct(
             F.lit("Template").alias("kind"),
             shown(strip(F.regexp_extract(t, INNER_TEMPLATE, 1))).alias("name"),

@@ -48,3 +48,15 @@ def score_bin(score: Column, bins: int = 5) -> Column:
     """Bin index, truncated towards zero and clamped to the first and last bin."""
     clamped = F.greatest(F.lit(0.0), F.least(score * bins, F.lit(bins - 1.0)))
     return F.when(score.isNotNull(), clamped.cast("int"))
+
+
+def micro(score: Column) -> Column:
+    """A score in millionths, whole, so that sums do not depend on the order of rows."""
+    return F.round(score * 1_000_000).cast("long")
+
+
+def exact_mean(millionths: Column, n: Column) -> Column:
+    """Mean of n scores from the sum of their millionths, rounded half away from zero to four places; 0 for none."""
+    total, size = F.coalesce(millionths, F.lit(0)).cast("long"), F.coalesce(n, F.lit(0)).cast("long")
+    half = F.when(total < 0, -100 * size).otherwise(100 * size)
+    return F.when(size > 0, F.call_function("div", 2 * total + half, 200 * size) / 10_000).otherwise(0.0)

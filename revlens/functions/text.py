@@ -69,18 +69,9 @@ def changed_line(content: Column, target: Column) -> Column:
 
 
 def _pieces(text: Column, needle: Column) -> Column:
-    """The text cut at every non-overlapping literal occurrence of the needle.
-
-    The needle is first replaced by one marker character that the text does not
-    hold, so no regular-expression quoting is involved.
-    """
-    marker = (
-        F.when(~F.contains(text, F.lit("\u0000")), F.lit("\u0000"))
-        .when(~F.contains(text, F.lit("\ue000")), F.lit("\ue000"))
-        .when(~F.contains(text, F.lit("\ue001")), F.lit("\ue001"))
-        .otherwise(F.raise_error(F.lit("no free marker character in text")))
-    )
-    return F.split(F.replace(text, needle, marker), marker)
+    """The text cut at every non-overlapping literal occurrence of the needle."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.split(text, quoted)
 
 
 def _found(text: Column, needle: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.geo import latitude, longitude
+from revlens.functions.scores import exact_mean, micro
 from revlens.functions.text import present, strip
 from revlens.operators.grids import label_square
 from revlens.schema import NOT_AVAILABLE
@@ -122,12 +123,12 @@ def article_rollup(rows: DataFrame, labels: dict[str, Column], sums: dict[str, C
     combining, so an article holding a third of all rows is reduced before it is shuffled.
     Ties go to the label seen first in ``order``.
     """
-    nothing = [F.lit(None).cast("double").alias(name) for name in sums]
+    nothing = [F.lit(None).cast("long").alias(name) for name in sums]
     entries = [
         F.struct(
             F.lit("").alias("kind"),
             F.lit(None).cast("string").alias("label"),
-            *[value.cast("double").alias(name) for name, value in sums.items()],
+            *[value.cast("long").alias(name) for name, value in sums.items()],
         )
     ] + [F.struct(F.lit(kind).alias("kind"), value.alias("label"), *nothing) for kind, value in labels.items()]
     wanted = (F.col("kind") == "") | F.col("label").isNotNull()
@@ -178,16 +179,16 @@ def article_agreement(revisions: DataFrame, articles: DataFrame, article_url: st
         "topic_n": F.when(both["topic"], 1),
         "stance_hits": F.when(same["stance"], 1),
         "stance_n": F.when(both["stance"], 1),
-        "score_sum": score,
+        "score_sum": micro(score),
         "score_n": F.when(score.isNotNull(), 1),
     }
     per_article = article_rollup(rows, labels, sums, F.col("id"))
 
     def share(top: str, bottom: str) -> Column:
-        return F.coalesce(_ratio(F.coalesce(F.col(top), F.lit(0.0)), F.col(bottom)), F.lit(0.0))
+        return F.coalesce(_ratio(F.coalesce(F.col(top), F.lit(0)), F.col(bottom)), F.lit(0.0))
 
     def samples(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0.0)).cast("long")
+        return F.coalesce(F.col(name), F.lit(0)).cast("long")
 
     return with_coordinates(per_article, articles).select(
         "article_url",
@@ -201,5 +202,5 @@ def article_agreement(revisions: DataFrame, articles: DataFrame, article_url: st
         "dominant_ai_topic",
         "dominant_human_stance",
         "dominant_ai_stance",
-        share("score_sum", "score_n").alias("avg_bias_score"),
+        exact_mean(F.col("score_sum"), F.col("score_n")).alias("avg_bias_score"),
     )

@@ -21,7 +21,7 @@ def _orders(seed: int | None) -> dict[str, Column]:
         "delta_asc": F.col("bias_delta").asc(),
         "time_newest": F.col("timestamp").desc(),
         "time_oldest": F.col("timestamp").asc(),
-        "random": F.rand(seed),
+        "random": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))),
     }
 
 
@@ -42,7 +42,8 @@ def review_queue(
     """The next ``n`` pending rows. An unknown order falls back to highest score first.
 
     Filters reach the scan and the limit turns into a top-n per task. Rows holding a NULL
-    are dropped after the limit, so a batch may come out shorter than ``n``.
+    are dropped after the limit, so a batch may come out shorter than ``n``. The random order
+    is that of a digest of seed and id, so a seed gives one batch at any partitioning.
     """
     rows = pending(revisions)
     for column, wanted in (("change_desc", desc), ("ai_topic", topic), ("ai_political_stance", stance)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.functions.scores import exact_mean, micro
 from revlens.functions.text import present
 from revlens.operators.agreement import article_rollup, is_labelled, only_article, with_coordinates
 from revlens.schema import TOP_LABELS
@@ -47,7 +48,7 @@ def survey_articles(revisions: DataFrame, articles: DataFrame, article_url: str
             "dominant_ai_topic": F.when(present(topic), topic),
             "dominant_ai_stance": F.when(present(stance), stance),
         },
-        {"score_sum": score, "score_n": F.when(score.isNotNull(), 1)},
+        {"score_sum": micro(score), "score_n": F.when(score.isNotNull(), 1)},
         F.col("id"),
     )
     return with_coordinates(per_article, articles).select(
@@ -57,5 +58,5 @@ def survey_articles(revisions: DataFrame, articles: DataFrame, article_url: str
         F.col("rows").alias("revisions_analyzed"),
         "dominant_ai_topic",
         "dominant_ai_stance",
-        F.coalesce(F.col("score_sum") / F.col("score_n"), F.lit(0.0)).alias("avg_ai_bias"),
+        exact_mean(F.col("score_sum"), F.col("score_n")).alias("avg_ai_bias"),
     )

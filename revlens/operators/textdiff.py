@@ -14,9 +14,10 @@ from revlens.functions.text import sentences, with_context_window, words
 from revlens.operators.sequence import BUCKET_WIDTH, with_previous
 
 REV = ["article", "bucket", "rev_seq"]
-# Text edits are numbered after all node edits of their revision.
-TEXT_EDITS_FROM = 1 << 22
-_ORDINAL_BITS = 23
+# Text edits are numbered after all node edits of their revision. A text has fewer than 2^31
+# characters, so neither kind reaches 2^31 and the two never meet.
+TEXT_EDITS_FROM = 1 << 31
+_ORDINAL_BITS = 32
 
 
 def revision_pairs(revisions: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
@@ -108,7 +109,7 @@ def sentence_edits(pairs: DataFrame) -> DataFrame:
 
     changes = F.flatten(F.zip_with("added", "removed", edits))
     return per_revision.select(*REV, F.posexplode(changes).alias("at", "c")).select(
-        *REV, (F.col("at") + TEXT_EDITS_FROM).alias("change_seq"), "c.*"
+        *REV, (F.col("at").cast("long") + F.lit(TEXT_EDITS_FROM)).alias("change_seq"), "c.*"
     )
 
 
@@ -210,7 +211,7 @@ def node_edits(pairs: DataFrame) -> DataFrame:
     )
     return edits.select(*REV, F.posexplode("edits").alias("change_seq", "e")).select(
         *REV,
-        "change_seq",
+        F.col("change_seq").cast("long").alias("change_seq"),
         F.concat_ws(":", F.lit("Node"), "e.kind", "e.field").alias("change_type"),
         F.col("e.before").alias("diff_before"),
         F.col("e.after").alias("diff_after"),
@@ -225,11 +226,7 @@ def structured_changes(pairs: DataFrame) -> DataFrame:
 
 def change_order(rev_seq: Column, change_seq: Column) -> Column:
     """One sortable number per change of an article: newest revision first, then edit order."""
-    limit = F.lit(1 << _ORDINAL_BITS)
-    checked = F.when(change_seq < limit, change_seq).otherwise(
-        F.raise_error(F.lit("a revision with too many changes for one order number"))
-    )
-    return F.shiftleft(-rev_seq.cast("long"), _ORDINAL_BITS) + checked
+    return F.shiftleft(-rev_seq.cast("long"), _ORDINAL_BITS) + change_seq.cast("long")
 
 
 def with_context(changes: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:

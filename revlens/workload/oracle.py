@@ -99,6 +99,12 @@ def _mode(name: str, label: str, rows: str) -> str:
     )
 
 
+# Scores are never negative: the mean in whole millionths, rounded half up to four places.
+_MEAN = (
+    "((2 * sum(round(bias_score_after * 1000000)::bigint) + 100 * count(bias_score_after))"
+    " // (200 * nullif(count(bias_score_after), 0)))::double / 10000"
+)
+
 _AGREEMENT = (
     f"with {EVENT_REV}, {ARTICLES}, {PLACES},"
     " lab as (select *, case when tb then trim(manual_topic) end as ht, case when tb then trim(ai_topic) end as mt,"
@@ -108,13 +114,13 @@ _AGREEMENT = (
     " from rev where manual_topic is not null or manual_bias is not null)),"
     + ", ".join(_mode(n, c, "lab") for n, c in (("m1", "ht"), ("m2", "mt"), ("m3", "hs"), ("m4", "ast")))
     + ", g as (select article_url, count(*) filter (ht = mt) as th, count(ht) as tn, count(*) filter (hs = ast) as sh,"
-    " count(hs) as sn, avg(bias_score_after) as b from lab group by 1),"
+    f" count(hs) as sn, {_MEAN} as b from lab group by 1),"
     " agree as (select g.article_url, lon, lat,"
     " round(case when tn > 0 then th / tn else 0.0 end, 4) as topic_agreement, tn::bigint as topic_samples,"
     " round(case when sn > 0 then sh / sn else 0.0 end, 4) as stance_agreement, sn::bigint as stance_samples,"
     " coalesce(m1.label, 'N/A') as dominant_human_topic, coalesce(m2.label, 'N/A') as dominant_ai_topic,"
     " coalesce(m3.label, 'N/A') as dominant_human_stance, coalesce(m4.label, 'N/A') as dominant_ai_stance,"
-    " round(coalesce(b, 0.0), 4) as avg_bias_score"
+    " coalesce(b, 0.0) as avg_bias_score"
     " from g left join places on places.url = g.article_url left join m1 using (article_url) left join m2 using (article_url)"
     " left join m3 using (article_url) left join m4 using (article_url))"
 )
@@ -124,8 +130,8 @@ _SURVEY = (
     f"with {EVENT_REV}, {ARTICLES}, {PLACES}, op as (select *, nullif(ai_topic, '') as t, nullif(ai_political_stance, '') as s"
     f" from rev where {_OPEN}), {_mode('m1', 't', 'op')}, {_mode('m2', 's', 'op')},"
     " surv as (select g.article_url, lon, lat, revisions_analyzed, coalesce(m1.label, 'N/A') as dominant_ai_topic,"
-    " coalesce(m2.label, 'N/A') as dominant_ai_stance, round(coalesce(b, 0.0), 4) as avg_ai_bias from"
-    " (select article_url, count(*)::bigint as revisions_analyzed, avg(bias_score_after) as b from op group by 1) g"
+    " coalesce(m2.label, 'N/A') as dominant_ai_stance, coalesce(b, 0.0) as avg_ai_bias from"
+    f" (select article_url, count(*)::bigint as revisions_analyzed, {_MEAN} as b from op group by 1) g"
     " left join places on places.url = g.article_url left join m1 using (article_url) left join m2 using (article_url))"
 )
 
@@ -231,6 +237,7 @@ def aggregate_queries() -> dict[str, str]:
     out["review_queue_delta_asc"] = _queue("bias_delta asc nulls first")
     out["review_queue_time_newest"] = _queue('"timestamp" desc nulls last')
     out["review_queue_time_oldest"] = _queue('"timestamp" asc nulls first')
+    out["review_queue_random"] = _queue("md5(concat('7:', id::varchar))")
     out["review_queue_filtered"] = _queue(
         "bias_score_after desc nulls last",
         "change_desc = 'Inserted Sentence' and ai_topic = 'click' and ai_political_stance = 'Neutral'",

@@ -19,6 +19,16 @@ def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+ROUNDED = ["article_agreement", "agreement_geojson", "survey_articles", "survey_geojson"]
+
+
+@pytest.mark.parametrize("name", ROUNDED)
+def test_means_on_a_rounding_border(spark, name):
+    """Larger tables hold means that lie between two roundings; the split of the rows must not decide."""
+    larger = SF.replace("0.001", "0.01")
+    assert difference(QUERIES[name](spark, larger).repartition(3), duck(larger), SQL[name]) == ""
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, SQL[name]) == ""

@@ -136,3 +136,25 @@ def test_template_parts(spark):
     parts = column(spark, ["x = 1|two|u=[[A|b|c]]|w=p=q", ""], markup.template_parts)
     assert [tuple(p) for p in parts[0]] == [("x", "1"), ("2", "two"), ("u", "[[A|b|c]]"), ("w", "p=q")]
     assert parts[1] == []
+
+
+def test_open_braces_cost_no_passes(spark):
+    text = "{{ab " * 200_000
+    df = spark.createDataFrame([(text,), (text + "}}",), ("}} {{a}} {{b {{c}} }} {{",), ("{{a}}" * 50_000 + "}}" * 50_000,)], "t string")
+    got = df.select(markup.template_depth(F.col("t")), F.length(markup.without_templates(F.col("t")))).collect()
+    assert [r[0] for r in got] == [0, 1, 2, 1]
+    assert [r[1] for r in got] == [1_000_000, 1_000_000 - 5, len("}}   {{"), 100_000]
+
+
+def test_characters_of_the_stand_ins_stay(spark):
+    text = "{{n|k=x\u0001y\u0002z\u0003\u0004o|[[a|b]]{{m}}}}"
+    parts = spark.createDataFrame([(text,)], "t string").select(
+        F.flatten(F.transform(markup.templates(F.col("t")), lambda n: markup.template_parts(n["body"])))
+    ).first()[0]
+    assert [tuple(p) for p in parts] == [("k", "x\u0001y\u0002z\u0003\u0004o"), ("2", "[[a|b]]{{m}}")]
+
+
+def test_needle_is_taken_literally(spark):
+    rows = [("\u0000 a.b  a.b ", "a.b", [2, 8]), (r"x\Ey\Ex", r"\E", [1, 4]), ("a(b(", "(", [1, 3])]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, n string")
+    assert [r[0] for r in df.select(text.positions(F.col("t"), F.col("n"))).collect()] == [r[2] for r in rows]

@@ -171,3 +171,10 @@ def test_word_diff_rebuilds_both_sides(spark):
     assert churn["words_added"] == sum(len(t.split()) for t in texts) - sum(kept)
     assert churn["revisions"] == len(texts)
     assert list(accumulate(kept))[-1] == churn["words_kept"]
+
+
+def test_order_numbers_of_both_kinds_never_meet(spark):
+    rows = [(1, (1 << 31) - 1), (1, 1 << 31), (1, (1 << 31) + 5), (0, 0), (2, (1 << 32) - 1)]
+    df = spark.createDataFrame(rows, "rev_seq bigint, change_seq bigint")
+    got = [r[0] for r in df.select(textdiff.change_order(F.col("rev_seq"), F.col("change_seq"))).collect()]
+    assert len(set(got)) == len(rows) and got[4] < got[0] < got[1] < got[2] < got[3]
