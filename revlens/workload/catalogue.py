@@ -57,6 +57,23 @@ def article_agreement(spark, sf_dir):
     return rounded(df, "topic_agreement", "stance_agreement", "avg_bias_score", places=4)
 
 
+def _first_article(rows: DataFrame) -> str | None:
+    return rows.agg(F.min("article_url")).first()[0]
+
+
+def single_article_agreement(spark, sf_dir):
+    """The agreement report of one article, the first labelled one by address."""
+    rev = fx.event_rev(spark, sf_dir)
+    url = _first_article(agreement.labelled(rev, None))
+    return rounded(agreement.article_agreement(rev, fx.articles_fx(spark, sf_dir), url), "topic_agreement", "stance_agreement", "avg_bias_score", places=4)
+
+
+def single_article_survey(spark, sf_dir):
+    """The survey of one article, the first unlabelled one by address."""
+    rev = fx.event_rev(spark, sf_dir)
+    return survey.survey_articles(rev, fx.articles_fx(spark, sf_dir), _first_article(survey.unlabelled(rev)))
+
+
 def agreement_geojson(spark, sf_dir):
     df = agreement.article_agreement(fx.event_rev(spark, sf_dir), fx.articles_fx(spark, sf_dir))
     return geojson.agreement_features(df)
@@ -82,6 +99,8 @@ def _review_queries() -> dict[str, Query]:
         for sort in ("bias_desc", "bias_asc", "delta_desc", "delta_asc", "time_newest", "time_oldest", "random")
     }
     out["review_queue_filtered"] = _queue("bias_desc", desc="Inserted Sentence", topic="click", stance="Neutral")
+    for sort in ("bias_asc", "delta_asc"):  # few rows without a score stand first here
+        out[f"review_queue_filtered_{sort}"] = _queue(sort, desc="Inserted Sentence", stance="Neutral")
     out["facet_desc"] = lambda s, d: review.description_facet(fx.event_rev(s, d))
     out["facet_topic"] = lambda s, d: review.label_facet(fx.event_rev(s, d), "ai_topic")
     out["facet_stance"] = lambda s, d: review.label_facet(fx.event_rev(s, d), "ai_political_stance")
@@ -432,6 +451,8 @@ def queries() -> dict[str, Query]:
         **_agreement_queries(),
         "article_agreement": article_agreement,
         "agreement_geojson": agreement_geojson,
+        "single_article_agreement": single_article_agreement,
+        "single_article_survey": single_article_survey,
         "survey_totals": lambda s, d: rounded(survey.survey_totals(fx.event_rev(s, d)), "avg_score"),
         "survey_topics": lambda s, d: survey.survey_topics(fx.event_rev(s, d)),
         "survey_stances": lambda s, d: survey.survey_stances(fx.event_rev(s, d)),

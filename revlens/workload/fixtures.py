@@ -121,11 +121,12 @@ def articles_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes to labels: one per event, a skip now and then, one clear in the middle."""
+    """Writes to labels: one per event, a skip now and then, clears up to shortly before the newest event."""
     return label_events_of(table(spark, sf_dir, "events"))
 
 
-CLEAR_SEQ = 500
+#: The last clear is late enough that many users write nothing after it.
+CLEARS = "event_id % 700 = 699"
 
 
 def label_events_of(events: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def label_events_of(events: DataFrame) -> DataFrame:
         f"{pick('k % 6', STANCES)} as stance",
         "event_type as topic",
         "event_id as event_seq",
-        f"case when event_id = {CLEAR_SEQ} then 'clear' when event_id % 40 = 0 then 'skip' else 'label' end as kind",
+        f"case when {CLEARS} then 'clear' when event_id % 40 = 0 then 'skip' else 'label' end as kind",
     )
 
 

@@ -30,7 +30,7 @@ LINE_REV = (
 DAY = 'try_cast(case when regexp_matches("timestamp", \'^\\d{4}-\\d{2}-\\d{2}\') then substr("timestamp", 1, 10) end as date)'
 LABEL_EVENTS = (
     f"ev as (select cast(user_id as varchar) as id, {fx.pick('k % 6', STANCES)} as stance, event_type as topic,"
-    f" event_id as event_seq, case when event_id = {fx.CLEAR_SEQ} then 'clear' when event_id % 40 = 0 then 'skip' else 'label' end as kind"
+    f" event_id as event_seq, case when {fx.CLEARS} then 'clear' when event_id % 40 = 0 then 'skip' else 'label' end as kind"
     f" from (select *, {fx.K_DUCK} as k from events))"
 )
 
@@ -210,6 +210,8 @@ def aggregate_queries() -> dict[str, str]:
         out[f"{kind}_report"] = report_sql(EVENT_REV, cells)
         out[f"{kind}_report_summary"] = _summary(EVENT_REV, cells)
     out["article_agreement"] = f"{_AGREEMENT} select * from agree"
+    out["single_article_agreement"] = f"{_AGREEMENT} select * from agree where article_url = (select min(article_url) from lab)"
+    out["single_article_survey"] = f"{_SURVEY} select * from surv where article_url = (select min(article_url) from op)"
     out["survey_totals"] = (
         f"with {EVENT_REV} select count(*)::bigint as \"rows\", round(avg(bias_score_after), 6) as avg_score from rev where {_OPEN}"
     )
@@ -242,6 +244,8 @@ def aggregate_queries() -> dict[str, str]:
         "bias_score_after desc nulls last",
         "change_desc = 'Inserted Sentence' and ai_topic = 'click' and ai_political_stance = 'Neutral'",
     )
+    for sort, order in (("bias_asc", "bias_score_after asc nulls first"), ("delta_asc", "bias_delta asc nulls first")):
+        out[f"review_queue_filtered_{sort}"] = _queue(order, "change_desc = 'Inserted Sentence' and ai_political_stance = 'Neutral'")
     out["topic_top10"] = _top("ai_topic")
     out["stance_top10"] = _top("ai_political_stance")
     out["bias_histogram"] = (
