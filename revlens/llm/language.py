@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 SAMPLE = 20_000
 #: Share of the labelled sample from which a declared code is a language of the model.
 LEAST_SHARE = 0.001
+#: Added to every count of a bucket; small, so that foreign text stays below the even odds of ``und``.
+SMOOTHING = 0.05
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.001
 STRENGTH = 5.0
@@ -101,7 +103,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     table = np.zeros((BUCKETS, len(names) + 1))
     for r in counted.filter(F.col("tag").isin(names) & (F.col("bucket") >= 0)).toLocalIterator():  # at most BUCKETS rows a language
         table[r["bucket"], names.index(r["tag"])] = r["n"]
-    table = np.log((table + 0.5) / (table.sum(0) + 0.5 * BUCKETS))
+    table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * BUCKETS))
     table[:, -1] = -math.log(BUCKETS)
     return names, table.astype(np.float32)
 
