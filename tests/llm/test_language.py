@@ -14,7 +14,7 @@ def corpus():
 
 
 def test_text_outweighs_a_wrong_declaration(spark):
-    data = corpus() + [(500, DE * 3, "en", "h1.site.com"), (501, EN * 3, None, None), (502, "一二三 " * 300, "en", "h1.site.com")]
+    data = corpus() + [(500, DE * 3, "en", "h1.site.com"), (501, EN * 3, None, None), (502, "一二三 " * 300, None, "h1.site.com")]
     got = {r["id"]: r for r in language.identify(rows(spark, data)).collect()}
     assert len(got) == len(data)
     assert got[500]["lang"] == "de" and got[501]["lang"] == "en" and got[502]["lang"] == "und" and not got[502]["accepted"]
