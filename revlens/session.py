@@ -47,7 +47,8 @@ def work_folder(spark: SparkSession) -> str:
     """Folder every executor can reach; only a local session may fall back to a temporary one."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="revlens-")
     if not spark.sparkContext.getCheckpointDir():
@@ -55,9 +56,21 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """Below it lies all that this application writes for itself."""
+    return os.path.join(work_folder(spark), "revlens", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the work folder, never used before."""
-    return os.path.join(work_folder(spark), "revlens", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_run_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application, once no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

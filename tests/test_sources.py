@@ -143,3 +143,17 @@ def test_articles_prefer_the_first_site(spark):
     regions = spark.createDataFrame([("r",)], "region string")
     found = discovery.region_articles(triples, regions, ["Z", "E"], ["zh", "en"]).collect()
     assert {tuple(r) for r in found} == {("i", "眼", "Point(1 2)", "zh1"), ("j", "j", None, "en2")}
+
+
+def test_scratch_tables_of_a_run_can_be_dropped(spark):
+    """In a session of another application id, so that tables of other tests stay."""
+    import os
+    from unittest import mock
+
+    from revlens import session
+
+    folder = os.path.join(session.work_folder(spark), "revlens", "drop-test")
+    with mock.patch.object(session, "_run_folder", lambda _: folder):
+        table = session.written_table(spark.range(3), "kept")
+        assert table.count() == 3 and os.path.isdir(folder)
+        assert session.drop_scratch(spark) and not os.path.exists(folder)
