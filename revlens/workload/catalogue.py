@@ -345,10 +345,10 @@ def stance_categories(spark, sf_dir):
 
 
 def articles_upsert(spark, sf_dir):
-    """Every event of a third of the users moves the article of that user; the last move counts."""
-    users = fx.table(spark, sf_dir, "events").filter("user_id % 3 = 0")
-    moves = users.select(
-        F.expr(fx.USER_URL.format(text="string")).alias("url"),
+    """Every event moves the article of its user, the last move counts; a third of the users write at a new address."""
+    address = F.expr(fx.USER_URL.format(text="string"))
+    moves = fx.table(spark, sf_dir, "events").select(
+        F.when(F.expr("user_id % 3 = 0"), F.concat(address, F.lit("_new"))).otherwise(address).alias("url"),
         F.concat(F.lit("POINT("), F.col("event_id").cast("string"), F.lit(" 1)")).alias("coord"),
         F.col("event_id").alias("seq"),
     )

@@ -113,6 +113,7 @@ COORD_CASE = (
 
 def articles_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article per user; some without coordinate, some malformed, some missing."""
+    # Some users have no article on purpose: the joins must keep their rows.
     users = table(spark, sf_dir, "events").filter("user_id % 29 <> 0").select("user_id").distinct()
     url = USER_URL.format(text="string")
     lon = f"cast(120 + {SPARK_HASH.format(f'({url})')} as string)"

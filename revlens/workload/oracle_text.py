@@ -319,7 +319,7 @@ def model_queries() -> dict[str, str]:
     out["articles_refresh"] = f"with {_BINDINGS}, u as (select url, min(coord) as coord from b group by 1) {_filled('u')}"
     out["ingest_totals"] = f"with {_BINDINGS} select count(*)::bigint as bindings, count(distinct url)::bigint as urls from b"
     out["articles_upsert"] = (
-        f"with {ARTICLES}, mv as (select {USER_URL} as url, 'POINT(' || max(event_id) || ' 1)' as coord from events where user_id % 3 = 0 group by 1)"
+        f"with {ARTICLES}, mv as (select {USER_URL} || case when user_id % 3 = 0 then '_new' else '' end as url, 'POINT(' || max(event_id) || ' 1)' as coord from events group by 1)"
         " select * from mv union all select url, coord from articles where url not in (select url from mv)"
     )
     out["first_articles"] = f"with {ARTICLES} select url, coord from articles order by url limit 50"
