@@ -57,7 +57,8 @@ def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col:
     """
     flat = lambda c: F.regexp_replace(c, r"[ \n]+", " ")
     marks = licences.select("licence", flat(canonical(F.col("text"))).alias("canon")).filter("canon <> ''").distinct()
-    marks = marks.withColumn("digest", F.xxhash64("canon"))
+    # a written table has a known size: a small list is broadcast, a large one joined by shuffle
+    marks = written_table(marks.withColumn("digest", F.xxhash64("canon")), "licences")
     body = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("body"))
     kinds = [("text", F.array("body")), ("paragraph", F.split("body", r"\n{2,}")), ("line", F.split("body", r"\n+"))]
     named = lambda scope: lambda unit: F.struct(F.lit(scope).alias("scope"), unit.alias("unit"))
