@@ -1,0 +1,150 @@
+"""Near copies by SimHash tables: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+At similarity 0.8 two fingerprints differ in 15 of 100 bits, too many for blocks that must be
+equal. So a fingerprint of BITS bits is drawn TABLES times for KEY of its bits; texts that agree
+in one draw meet, those within REACH of the first 64 bits are candidates, and the exact
+similarity of their shingle sets confirms each. First neighbours of the first TRIED tables are
+confirmed and connected; then all pairs of all tables that this has not connected yet. So a
+large group of near copies costs links in proportion to its size, not all its pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from revlens.llm.components import connected
+from revlens.llm.shared import SEED
+from revlens.llm.simhash import PAIRS, _starts, _whole_groups, kept_firsts
+from revlens.session import written_table
+
+SHINGLE = 5
+SIMILAR = 0.8
+BITS = 256
+KEY = 18
+TABLES = 64
+#: Bits of the first 64 in which candidates may differ; at similarity 0.8 the mean is 10, the deviation 3.
+REACH = 18
+TRIED = 8
+CHUNK = 1 << 16
+_STEPS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(BITS // 64)]
+_DRAWN = np.stack([np.random.Generator(np.random.PCG64(11 + t)).choice(BITS, KEY, replace=False) for t in range(TABLES)])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct digests of the five-word shingles; a shorter text is one shingle, a blank one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k:k + SHINGLE]), SEED) for k in range(n)], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bits(some: np.ndarray) -> np.ndarray:
+    """SimHash of a set of digests, one byte a bit."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(some), CHUNK):
+        part = some[k:k + CHUNK]
+        for j, step in enumerate(_STEPS):
+            h = part + step
+            if j:
+                h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            ones[64 * j:64 * j + 64] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return (2 * ones > len(some)).astype(np.uint8)
+
+
+def placed(texts: DataFrame) -> DataFrame:
+    """(anchor, node, fp) of every text (node, text) in each table."""
+    power = 1 << np.arange(KEY, dtype=np.int64)
+    number = np.arange(TABLES, dtype=np.int64) << KEY
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = np.stack([bits(shingles(t.as_py())) for t in batch.column("text")])
+            fp = np.packbits(found[:, :64], axis=1).view(">i8").ravel().astype(np.int64)
+            anchor = (found[:, _DRAWN] @ power + number).ravel()
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.repeat(node, TABLES)), pa.array(np.repeat(fp, TABLES))], names=["anchor", "node", "fp"])
+
+    return texts.mapInArrow(run, "anchor bigint, node bigint, fp bigint")
+
+
+def _pairs(rows: DataFrame, neighbours: bool) -> DataFrame:
+    """Distinct candidates (a, b) of rows (anchor, node, fp, home), home: the component so far; neighbours: next ones only."""
+    def run(batches):
+        for (anchor,), fp, home, node in _whole_groups(batches, ["anchor"], ("fp", "home", "node")):
+            start, own = _starts([anchor]), _starts([anchor, home])
+            other = np.repeat(own[1:], np.diff(own))
+            n = np.repeat(start[1:], np.diff(start)) - other
+            n = np.minimum(n, 1) if neighbours else n
+            until, k = np.cumsum(n), 0
+            while k < len(n):
+                stop = max(k + 1, int(np.searchsorted(until, (until[k - 1] if k else 0) + PAIRS, "right")))
+                m = n[k:stop]
+                left = np.repeat(np.arange(k, stop), m)
+                right = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(other[k:stop], m)
+                near = np.bitwise_count(fp[left] ^ fp[right]) <= REACH
+                a, b = node[left[near]], node[right[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                k = stop
+
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "home", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) are similar."""
+    pairs = written_table(pairs, f"{name}-pairs")
+    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ends")
+    some = written_table(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
+    left, right = (some.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
+
+    def run(batches):
+        last, one = None, None
+        for batch in batches:
+            good = []
+            for k, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "a_text", "b_text")))):
+                if a != last:  # pairs of one text often follow each other
+                    last, one = a, shingles(x)
+                if similarity(one, shingles(y)) >= SIMILAR:
+                    good.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    return written_table(pairs.join(right, "b").join(left, "a").mapInArrow(run, "a bigint, b bigint"), name)
+
+
+def classes(texts: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of texts (node, text) that a chain of similar ones joins to another node."""
+    rows = written_table(placed(texts.dropDuplicates(["node"])), "placed")
+    first = rows.filter(F.col("anchor") < TRIED << KEY).withColumn("home", F.col("node"))
+    links = confirmed(_pairs(first, True), texts, "first-links")
+    roots = written_table(connected(links), "first-roots")
+    late = rows.join(roots, "node", "left").select("anchor", "node", "fp", F.coalesce("root", "node").alias("home"))
+    return connected(links.unionByName(confirmed(_pairs(late, False), texts, "late-links")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each component of similar texts the row with the smallest id stays.
+
+    Null, missing ids and equal rows are treated as by simhash.one_of_each; null and blank texts
+    are copies of each other, and a text below five words is one shingle. Columns are those of ``docs``.
+    """
+    digest = F.xxhash64(text_col)
+    texts = docs.select(digest.alias("node"), F.col(text_col).alias("text"))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+    least = docs.select(key.alias("id")).groupBy(F.col("id.digest").alias("node")).agg(F.min("id").alias("id"))
+    roots = written_table(classes(texts), "classes")
+    firsts = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("id"))
+    return kept_firsts(docs, firsts, id_col, text_col)

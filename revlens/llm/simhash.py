@@ -200,16 +200,16 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS, tile:
     return first.filter("anchor is null").select("a", "b").unionByName(late)
 
 
-def _whole_groups(batches, keys):
-    """(key columns, fp, home) of rows sorted by key, cut at group borders only."""
+def _whole_groups(batches, keys, rest=("fp", "home")):
+    """(key columns, fp, home, other columns of rest) of rows sorted by key, cut at group borders only."""
     held: list[list[np.ndarray]] = []
 
     def joined(parts):
         cols = [np.concatenate(x) for x in zip(*parts)]
-        return cols[:len(keys)], cols[-2].view(np.uint64), cols[-1]
+        return cols[:len(keys)], cols[len(keys)].view(np.uint64), *cols[len(keys) + 1:]
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in [*keys, "fp", "home"]]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in [*keys, *rest]]
         if not len(cols[0]):
             continue
         last = np.all([c == c[-1] for c in cols[:len(keys)]], axis=0)
@@ -258,11 +258,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row without id stays only in a component without ids; there, and among repeated ids, the
     smallest text digest decides, and equal rows count as one. Columns are those of ``docs``.
     """
-    own_id, digest, number = free(docs, "_id", "_digest", "_number")
-    marked = docs.withColumns({own_id: F.col(id_col), digest: F.xxhash64(F.col(text_col))})
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"))
     prints = written_table(fingerprints(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text"), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("id").alias("id")).join(classes(prints, distance, parts), "fp").groupBy("root").agg(F.min("id").alias("id"))
+    return kept_firsts(docs, firsts, id_col, text_col)
+
+
+def kept_firsts(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each row of firsts (id: struct of none, id, digest of the text)."""
+    own_id, digest, number = free(docs, "_id", "_digest", "_number")
+    marked = docs.withColumns({own_id: F.col(id_col), digest: F.xxhash64(F.col(text_col))})
     keep = written_table(firsts.select(F.col("id.id").alias(own_id), F.col("id.digest").alias(digest)).distinct(), "kept")
     same = marked[own_id].eqNullSafe(keep[own_id]) & (marked[digest] == keep[digest])
     order = Window.partitionBy(own_id, digest).orderBy(F.lit(1))

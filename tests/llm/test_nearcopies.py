@@ -1,0 +1,77 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from helpers import documents, nothing, words
+from revlens.llm import components, nearcopies
+
+SF = "/root/testdata/sf0.01"
+
+
+def similar(texts):
+    """Pairs with Jaccard 0.8 or more of five-word shingles, by all pairs that share one."""
+    sets, holders = [], {}
+    for k, t in enumerate(texts):
+        w = [x.lower() for x in words(t)]
+        sets.append({tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+        for s in sets[-1]:
+            holders.setdefault(s, []).append(k)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    return [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def planted(seed=9):
+    """Texts of 40 to 300 words, each with a copy in which some words are replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(150):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        near = list(w)
+        for at in rng.sample(range(len(w)), max(1, round(len(w) * rng.uniform(0.005, 0.021)))):
+            near[at] = f"z{rng.randrange(5000)}"
+        out += [" ".join(w), " ".join(near)]
+    return out
+
+
+def recall(spark, texts):
+    pairs = similar(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    root = {r["node"]: r["root"] for r in nearcopies.classes(df).collect()}
+    found = [(a, b) for a, b in pairs if root.get(a, a) == root.get(b, b)]
+    true = components.local_roots(len(texts), *np.array(pairs).T)
+    for a, r in root.items():  # no link that the exact similarity does not make
+        assert true[a] == true[r]
+    return len(found), len(pairs)
+
+
+def test_stage_finds_planted_near_copies(spark):
+    texts = planted()
+    found, pairs = recall(spark, texts)
+    assert pairs >= 80 and found >= 0.95 * pairs
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert sum(b not in left for _, b in similar(texts)) >= 0.95 * pairs
+
+
+def test_recall_on_given_rows(spark):
+    texts = sorted({r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()})
+    found, pairs = recall(spark, texts)
+    assert pairs and found >= 0.95 * pairs
+
+
+def test_large_group_costs_links_in_proportion(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*base[:k], f"z{rng.random()}", *base[k + 1:]]) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    assert {r["root"] for r in nearcopies.classes(df).collect()} == {0}
+
+
+def test_odd_rows_and_empty(spark):
+    docs = documents(spark)
+    kept = nearcopies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and 2 not in ids and 6 not in ids and 16 not in ids
+    assert nearcopies.one_of_each(nothing(spark)).collect() == []
