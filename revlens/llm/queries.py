@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
+from revlens.llm import conversations, decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,9 +71,15 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """All conversations, damaged as the contract has it, then repaired."""
+    rows = conversations.normalised(table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.damaged(rows), rows)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_mix_shares, op3_quality, op4_lm_scores, op5_token_counts,
-        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash,
+        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash, op12_conversation_repair,
     )
     return {f.__name__: f for f in found}
