@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import conversations, decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
+from revlens.llm import alignment, conversations, decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rules of op1 and the vocabulary file of op5.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 VOCABULARY = "byte_bpe_50k.json"
+#: The other tokenizer of op13.
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_url_filter(spark, sf_dir):
@@ -77,9 +79,15 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.report(conversations.damaged(rows), rows)
 
 
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_mix_shares, op3_quality, op4_lm_scores, op5_token_counts,
-        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash, op12_conversation_repair,
+        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash, op12_conversation_repair, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
