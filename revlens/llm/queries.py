@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import alignment, conversations, decontam, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
+from revlens.llm import alignment, conversations, decontam, jaccard, language, licenses, lm, mixing, quality, simhash, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     """All conversations, damaged as the contract has it, then repaired."""
     rows = conversations.normalised(table(spark, sf_dir, "conversations"))
@@ -88,6 +92,6 @@ def op13_token_alignment(spark, sf_dir):
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_mix_shares, op3_quality, op4_lm_scores, op5_token_counts,
-        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash, op12_conversation_repair, op13_token_alignment,
+        op6_decontamination, op7_licence_scan, op8_languages, op9_warc, op10_simhash, op11_jaccard_join, op12_conversation_repair, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
