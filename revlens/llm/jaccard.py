@@ -8,9 +8,10 @@ before the first shared one are lost to the overlap. A slab is joined with itsel
 that is packed by size: pairs of boxes, then of points, whose summed minima stay below the
 overlap that their sizes ask for are left out. Pairs that survive are verified on the sets.
 
-Equal sets are one point. In large groups of near copies not all pairs are made: a first round
-verifies neighbours in the slabs only and joins what is linked; the second, which is complete,
-skips pairs that are joined already.
+Equal sets are one point. Small slabs are joined at once. In large ones, as near copies make them,
+not all pairs are made: a first round verifies neighbours only and joins what is linked; the
+second, which is complete, skips pairs that are joined already. Candidates are bounded again by
+points of more groups before the sets themselves are fetched.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ from pyspark.sql import functions as F
 
 from revlens.llm.components import connected
 from revlens.llm.simhash import _starts, _whole_groups
+from revlens.llm.shared import fresh, map_arrays, write_arrays
 from revlens.llm.words import Hasher, groups, mix, text_bytes
-from revlens.session import written_table
+from revlens.session import scratch_path, written_table
 
 SHINGLE = 4
 #: Linked if PERCENT of the union or more is shared.
 PERCENT = 85
 GROUPS = 16
+#: Groups of the finer points that candidates are bounded by before their sets are fetched.
+FINE = 512
 #: Children of a box.
 FAN = 16
 #: Buckets of the frequency table that gives shingles their order.
@@ -39,10 +43,11 @@ BUCKETS = 1 << 16
 CHUNK = 1 << 22
 #: Pairs of boxes or points looked at in one array operation.
 PAIRS = 1 << 20
-#: Points of one slab beyond which it is dealt out to several tasks.
-SLAB = 1 << 14
+#: Points of a slab up to which all its pairs are made at once, and beyond which it is dealt out to several tasks.
+SMALL, SLAB = 32, 1 << 14
 #: Points in the middle of a slab that the first round pairs with the others.
 CENTRES = 2
+_ENTRY = ("slab", "half", "size", "low", "high")
 #: Odd, and another one for each word of a shingle.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -75,39 +80,45 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[place] == a).sum()) >= needed(len(a), len(b))
 
 
+def _shingled(batches, shingle: int):
+    """(rows, set of each row), CHUNK bytes of text at once."""
+    hasher = Hasher()
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for k, stop in groups(offsets, CHUNK):
+            yield batch.slice(k, stop - k), shingle_sets(*hasher(data, offsets[k:stop + 1]), shingle)
+
+
+def _halves(nodes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(nodes), ">i8")[::2].astype(np.int64)
+
+
 def sets_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, half, size, members): digest of the set, its first half, its size; members: the set, at its first place in a task."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, print, node, half, size): digest of the text; digest of its set, the first half of that, the size of the set."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for k, stop in groups(offsets, CHUNK):
-                node, size, members = [], [], []
-                for own in shingle_sets(*hasher(data, offsets[k:stop + 1]), shingle):
-                    flat = own.tobytes()
-                    node.append(xxhash.xxh3_128_digest(flat))
-                    size.append(len(own))
-                    members.append(None if node[-1] in seen or not flat else flat)
-                    seen.add(node[-1])
-                half = np.frombuffer(b"".join(node), ">i8")[::2].astype(np.int64)
-                cols = [batch.column("doc_id").slice(k, stop - k), pa.array(node, pa.binary()), pa.array(half), pa.array(size, pa.int64()), pa.array(members, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "half", "size", "members"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node binary, half bigint, size bigint, members binary")
-
-
-def bucket_order(sets: DataFrame) -> np.ndarray:
-    """Rank of every bucket of shingles by how many sets hold one of it; BUCKETS numbers at any size of input."""
+        for batch, sets in _shingled(batches, shingle):
+            node, size = [], []
+            for own in sets:
+                node.append(xxhash.xxh3_128_digest(own.tobytes()))
+                size.append(len(own))
+            cols = [batch.column("doc_id"), batch.column("print"), pa.array(node, pa.binary()), pa.array(_halves(node)), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "print", "node", "half", "size"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, print bigint, node binary, half bigint, size bigint")
+
+
+def bucket_order(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Rank of every bucket of shingles by how many texts hold one of it; BUCKETS numbers at any size of input."""
     def run(batches):
         count = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for own in batch.column("members"):
-                count += np.bincount((np.frombuffer(own.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        for _, sets in _shingled(batches, shingle):
+            parts = list(sets)
+            count += np.bincount((np.concatenate(parts) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(BUCKETS)), "n": pa.array(count)})
 
-    rows = sets.filter("members is not null").select("members").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(BUCKETS, np.int64)
     for r in rows:
         count[r["bucket"]] = r["n"]
@@ -116,43 +127,46 @@ def bucket_order(sets: DataFrame) -> np.ndarray:
     return rank
 
 
-def point(own: np.ndarray) -> tuple[np.ndarray, int]:
-    """Counts by group, rounded up to whole steps of 2^shift so that each fits a byte, and the shift."""
-    count = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=GROUPS)
+def point(own: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Counts by group, for so many groups (a power of two), rounded up to whole steps of 2^shift so that each fits a byte, and the shift."""
+    count = np.bincount((own >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size)
     shift = max(0, int(count.max()).bit_length() - 8)
-    count = -(-count >> shift) if shift == 0 else (count + (1 << shift) - 1) >> shift
+    count = (count + (1 << shift) - 1) >> shift
     if count.max() > 255:
         shift, count = shift + 1, (count + 1) >> 1
     return count.astype(np.uint8), shift
 
 
-def entries(sets: DataFrame, rank: np.ndarray) -> DataFrame:
+def entries(texts: DataFrame, rank: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
     """(slab, half, size, low, high): each set in the slabs of its first shingles, with its point in two numbers.
 
     Of n shingles the last needed ones for an overlap of PERCENT of n cannot all be lost, so
     the first n - ceil(PERCENT * n / 100) + 1 hold the first shared one. size carries the
-    shift of the counts in its low byte.
+    shift of the counts in its low byte. A task enters equal sets once.
     """
     def run(batches):
-        for batch in batches:
+        seen = set()
+        for _, sets in _shingled(batches, shingle):
             slab, n, row = [], [], []
-            half, size = batch.column("half").to_numpy(), batch.column("size").to_numpy()
-            for k, own in enumerate(batch.column("members")):
-                own = np.frombuffer(own.as_buffer(), np.uint64)
+            for own in sets:
+                node = xxhash.xxh3_128_digest(own.tobytes())
+                if node in seen or not len(own):
+                    continue
+                seen.add(node)
                 first = len(own) - -(-PERCENT * len(own) // 100) + 1
                 order = rank[(own & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | own >> np.uint64(16)
                 slab.append(own[np.argpartition(order, first - 1)[:first]] if first < len(own) else own)
                 n.append(len(slab[-1]))
-                count, shift = point(own)
-                row.append((int(size[k]) << 8 | shift, *count.view(np.int64).tolist()))
+                count, shift = point(own, GROUPS)
+                row.append((int(_halves([node])[0]), len(own) << 8 | shift, *count.view(np.int64).tolist()))
             if not row:
                 continue
             n, row = np.array(n), np.array(row, np.int64)
-            cols = [np.concatenate(slab).view(np.int64), np.repeat(half, n), *[np.repeat(row[:, c], n) for c in range(3)]]
+            cols = [np.concatenate(slab).view(np.int64), *[np.repeat(row[:, c], n) for c in range(4)]]
             for s in range(0, len(cols[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[s:s + (1 << 18)]) for c in cols], names=["slab", "half", "size", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[s:s + (1 << 18)]) for c in cols], names=list(_ENTRY))
 
-    return sets.filter("members is not null").select("half", "size", "members").mapInArrow(run, "slab bigint, half bigint, size bigint, low bigint, high bigint")
+    return texts.mapInArrow(run, "slab bigint, half bigint, size bigint, low bigint, high bigint")
 
 
 class Points:
@@ -162,6 +176,10 @@ class Points:
         self.size = size >> 8
         self.count = np.stack([low, high], 1).view(np.uint8).astype(np.int32) << (size & 255).astype(np.int32)[:, None]
 
+    def reach(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the summed minima of the points reach the overlap that they need."""
+        return np.minimum(self.count[i], self.count[j]).sum(1) >= needed(self.size[i], self.size[j])
+
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[k], first[k] + 1, ... n[k] numbers for each k."""
@@ -216,33 +234,55 @@ def tree_join(start: np.ndarray, points: Points, label: np.ndarray, side: np.nda
             stack.append((depth - 1, left[keep], right[keep]))
 
 
-_ENTRY = ("slab", "half", "size", "low", "high")
-
-
-def crowded(dealt: DataFrame) -> DataFrame:
-    """The entries (sorted by slab) that are not alone in their slab, and the first pairs: rows (a, b) without slab.
+def crowded(dealt: DataFrame, small: int = SMALL) -> DataFrame:
+    """Pairs (a, b) without slab, and the entries of large slabs, for entries sorted by slab.
 
-    First pairs are neighbours in a slab and, for the rows of a slab in one batch, those in the
-    middle with the others. Only a batch is held, and of the one before its last row.
+    Slabs of up to ``small`` points give all pairs that their bound lets through. Of larger ones
+    the entries come back for the second round, with the pairs of neighbours and, for the rows in one
+    batch, of those in the middle with the others. Only a batch is held, and a small slab or the
+    last row of a large one from before.
     """
     def run(batches):
-        last, joined = None, False
+        held, large = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy() for c in _ENTRY]
-            if last is not None:
-                cols = [np.append(x, c) for x, c in zip(last, cols)]
+            if held is not None:
+                cols = [np.append(x, c) for x, c in zip(held, cols)]
             slab, half = cols[:2]
             new = np.append(True, (slab[1:] != slab[:-1]) | (half[1:] != half[:-1]))
             cols = [c[new] for c in cols]
-            slab, half, size, low, high = cols
-            same = slab[1:] == slab[:-1]
-            before, after = np.append(joined, same), np.append(same, False)
-            keep = (before | after)[:-1]
-            last, joined = [c[-1:] for c in cols], bool(before[-1])
-            yield rows([c[:-1][keep] for c in cols])
-            left, right = np.flatnonzero(same), np.flatnonzero(same) + 1
+            start = _starts([cols[0]])
+            big = np.diff(start) > small
+            big[0] |= large
+            tail = int(start[-2])
+            at = np.repeat(big, np.diff(start))
+            if large:
+                at[0] = False  # came back with the batch before
+            yield rows([c[at] for c in cols])
+            at[0] |= large
+            yield from near(cols, at)
+            if big[-1]:
+                yield from complete([c[:tail] for c in cols], ~at[:tail])
+                held, large = [c[-1:] for c in cols], True
+            else:
+                yield from complete([c[:tail] for c in cols], ~at[:tail])
+                held, large = [c[tail:] for c in cols], False
+        if held is not None and not large:
+            yield from complete(held, np.ones(len(held[0]), bool))
+
+    def complete(cols, at):
+        slab, half, size, low, high = (c[at] for c in cols)
+        if len(slab):
+            for i, j in tree_join(_starts([slab]), Points(size, low, high), np.arange(len(slab))):
+                yield rows(None, half[i], half[j])
+
+    def near(cols, at):
+        slab, half, size, low, high = (c[at] for c in cols)
+        if len(slab):
+            left = np.flatnonzero(slab[1:] == slab[:-1])
+            right = left + 1
             points, start = Points(size, low, high), _starts([slab])
             n = np.diff(start)
             run_of = np.repeat(np.arange(len(n)), n)
@@ -252,10 +292,8 @@ def crowded(dealt: DataFrame) -> DataFrame:
                 large = np.flatnonzero(n > k + 2)
                 left = np.append(left, np.repeat(order[start[large] + k], n[large]))
                 right = np.append(right, _ranges(start[large], n[large]))
-            good = (half[left] != half[right]) & (np.minimum(points.count[left], points.count[right]).sum(1) >= needed(points.size[left], points.size[right]))
+            good = (half[left] != half[right]) & points.reach(left, right)
             yield rows(None, half[left[good]], half[right[good]])
-        if joined:
-            yield rows(last)
 
     def rows(entry, a=None, b=None):
         n, none = len(a if entry is None else entry[0]), pa.int64()
@@ -285,38 +323,109 @@ def second_pairs(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Links (a, b, a_half, b_half) of the nodes whose halves are paired and whose sets are linked."""
-    pairs = written_table(pairs.distinct(), f"{name}-pairs")
-    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), f"{name}-ends")
-    some = sets.filter("members is not null").select("half", "node", "members").join(ends, "half", "left_semi")
-    some = written_table(some.groupBy("half", "node").agg(F.first("members").alias("members")), f"{name}-sets")
-    left, right = (some.select(F.col("half").alias(k), F.col("node").alias(f"{k}_node"), F.col("members").alias(f"{k}_set")) for k in "ab")
+def _array_files(numbers: DataFrame, name: str) -> list[tuple[int, str]]:
+    """(first number, address) of files of the sorted numbers (column n) in the shared folder."""
+    folder = scratch_path(numbers.sparkSession, name)
 
     def run(batches):
-        last, one = None, None
-        for batch in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(batch.column("a_set"), batch.column("b_set"))):
-                x = x.as_buffer()
-                if last is None or x != last:
-                    last, one = x, np.frombuffer(x, np.uint64)
-                if linked(one, np.frombuffer(y.as_buffer(), np.uint64)):
-                    good.append(k)
-            yield batch.select(["a_node", "b_node", "a", "b"]).take(pa.array(good, pa.int64())).rename_columns(["a", "b", "a_half", "b_half"])
+        parts = [b.column("n").to_numpy() for b in batches if b.num_rows]
+        if parts:
+            all_, path = np.concatenate(parts), fresh(folder, name)
+            write_arrays(path, {"n": all_})
+            yield pa.RecordBatch.from_pydict({"first": pa.array([int(all_[0])], pa.int64()), "path": [path]})
+
+    files = numbers.distinct().repartitionByRange("n").sortWithinPartitions("n").mapInArrow(run, "first bigint, path string")
+    return [tuple(r) for r in written_table(files, f"{name}-files").orderBy("first").collect()]
 
-    return written_table(pairs.join(right, "b").join(left, "a").mapInArrow(run, "a binary, b binary, a_half bigint, b_half bigint"), f"{name}-links")
 
+def candidates(texts: DataFrame, sets: DataFrame, ends: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """(half, node, fine, members) of the sets whose half is among ends: a finer point, and the set.
 
-def links(sets: DataFrame, slab: int = SLAB) -> DataFrame:
+    One text of each set is shingled again. Which ones, every task looks up in sorted files that
+    it maps, so that no other text moves.
+    """
+    prints = sets.join(ends, "half", "left_semi").groupBy("node").agg(F.min("print").alias("n")).select("n")
+    files = _array_files(prints, name)
+
+    def run(batches):
+        arrays, seen = [(f, map_arrays(path)["n"]) for f, path in files], set()
+
+        def wanted():
+            for batch in batches:
+                own = batch.column("print").to_numpy()
+                hit = np.zeros(len(own), bool)
+                for _, numbers in arrays:
+                    hit |= numbers[np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)] == own
+                for k, p in enumerate(own.tolist()):
+                    hit[k] &= p not in seen
+                    if hit[k]:
+                        seen.add(p)
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+        for _, some in _shingled(wanted(), shingle):
+            node, fine, members = [], [], []
+            for own in some:
+                if len(own):
+                    count, shift = point(own, FINE)
+                    members.append(own.tobytes())
+                    node.append(xxhash.xxh3_128_digest(members[-1]))
+                    fine.append(np.array([len(own) << 8 | shift]).tobytes() + count.tobytes())
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(_halves(node)), *[pa.array(x, pa.binary()) for x in (node, fine, members)]], names=["half", "node", "fine", "members"])
+
+    found = texts.mapInArrow(run, "half bigint, node binary, fine binary, members binary")
+    return written_table(found.groupBy("half", "node").agg(F.first("fine").alias("fine"), F.first("members").alias("members")), f"{name}-sets")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Links (a, b, a_half, b_half) of the nodes whose halves are paired and whose sets are linked."""
+    pairs = written_table(pairs.distinct(), f"{name}-pairs")
+    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), f"{name}-ends")
+    some = candidates(texts, sets, ends, name)
+
+    def kept(test):
+        def run(batches):
+            last, one = None, None
+            for batch in batches:
+                good = []
+                for k, (x, y) in enumerate(zip(batch.column("a_value"), batch.column("b_value"))):
+                    x = x.as_buffer()
+                    if last is None or x != last:
+                        last, one = x, x
+                    if test(one, y.as_buffer()):
+                        good.append(k)
+                yield batch.select(["a", "b", "a_node", "b_node"]).take(pa.array(good, pa.int64()))
+
+        return run
+
+    def bounded(x, y):
+        (a, b), (p, q) = (np.frombuffer(v, np.int64, 1) for v in (x, y)), (np.frombuffer(v, np.uint8, FINE, 8).astype(np.int64) for v in (x, y))
+        return int(np.minimum(p << (a & 255), q << (b & 255)).sum()) >= needed(int(a[0]) >> 8, int(b[0]) >> 8)
+
+    def equal_enough(x, y):
+        return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+
+    def ends_of(column):
+        return (some.select(F.col("half").alias(k), F.col("node").alias(f"{k}_node"), F.col(column).alias(f"{k}_value")) for k in "ab")
+
+    schema = "a bigint, b bigint, a_node binary, b_node binary"
+    left, right = ends_of("fine")
+    near = written_table(pairs.join(right, "b").join(left, "a").mapInArrow(kept(bounded), schema), f"{name}-near")
+    left, right = ends_of("members")
+    done = near.join(right, ["b", "b_node"]).join(left, ["a", "a_node"]).mapInArrow(kept(equal_enough), schema)
+    return written_table(done.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a").alias("a_half"), F.col("b").alias("b_half")), f"{name}-links")
+
+
+def links(texts: DataFrame, sets: DataFrame, small: int = SMALL, slab: int = SLAB) -> DataFrame:
     """Links (a, b) of nodes that connect exactly the different sets which chains of links connect.
 
-    A slab with more than ``slab`` points of several components is dealt out in parts, and every two
-    parts meet in one task.
+    texts: (print, text). A slab with more than ``slab`` points of several components is dealt out
+    in parts, and every two parts meet in one task.
     """
-    dealt = entries(sets, bucket_order(sets)).repartition("slab").sortWithinPartitions("slab", "size", "low", "high", "half")
-    rows = written_table(crowded(dealt), "crowded")
-    first = confirmed(rows.filter("slab is null").select("a", "b"), sets, "first")
+    dealt = entries(texts.select("text"), bucket_order(texts.select("text"))).repartition("slab").sortWithinPartitions("slab", "size", "low", "high", "half")
+    rows = written_table(crowded(dealt, small), "crowded")
+    first = confirmed(rows.filter("slab is null").select("a", "b"), texts, sets, "first")
     roots = connected(first.select("a", "b"))
     ends = first.select(F.col("a").alias("node"), F.col("a_half").alias("half")).unionByName(first.select(F.col("b").alias("node"), F.col("b_half").alias("half")))
     labels = written_table(ends.distinct().join(roots, "node").select("half", F.xxhash64("root").alias("label")), "labels")
@@ -328,10 +437,10 @@ def links(sets: DataFrame, slab: int = SLAB) -> DataFrame:
     dealt = own.join(mixed, "slab").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select(*_ENTRY, "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     dealt = dealt.repartition("slab", "i", "j").sortWithinPartitions("slab", "i", "j", "label", "size", "low", "high")
-    return first.unionByName(confirmed(second_pairs(dealt), sets, "second")).select("a", "b")
+    return first.unionByName(confirmed(second_pairs(dealt), texts, sets, "second")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slab: int = SLAB) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, slab: int = SLAB) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: the smallest id reachable by links, its own included.
 
     Null texts and texts without words have no shingles and are linked with nothing, so each is its
@@ -339,8 +448,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id get the smallest id of their component, or null. An empty table gives no rows; other
     columns are left out. Shingles are compared as 64-bit digests, sets are named by 128 bits.
     """
+    texts = docs.select(F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     sets = written_table(sets_of(docs, id_col, text_col), "sets")
-    roots = written_table(connected(links(sets, slab)), "roots")
+    roots = written_table(connected(links(texts, sets, small, slab)), "roots")
     least = sets.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = written_table(least, "least")
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))

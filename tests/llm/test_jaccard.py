@@ -60,25 +60,26 @@ def near_texts(n=240, seed=3):
     return out
 
 
-@pytest.mark.parametrize("slab", [1 << 14, 3])
-def test_families_around_the_threshold(spark, slab):
+@pytest.mark.parametrize("small, slab", [(32, 1 << 14), (1, 1 << 14), (2, 3)])
+def test_families_around_the_threshold(spark, small, slab):
     rows = list(enumerate(near_texts()))
     rng = random.Random(1)
     rng.shuffle(rows)
-    compared(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), slab=slab), rows)
+    compared(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), small=small, slab=slab), rows)
 
 
 def test_second_round_finds_what_the_first_leaves(spark, monkeypatch):
     """Without the first round's links the second must find all of them."""
     rows = list(enumerate(near_texts(120, 7)))
-    sets = jaccard.sets_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = jaccard.sets_of(docs)
     own = jaccard.confirmed
 
-    def none_at_first(pairs, sets, name):
-        return own(pairs.limit(0) if name == "first" else pairs, sets, name)
+    def none_at_first(pairs, texts, sets, name):
+        return own(pairs.limit(0) if name == "first" else pairs, texts, sets, name)
 
     monkeypatch.setattr(jaccard, "confirmed", none_at_first)
-    got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard.links(sets).collect()}
+    got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard.links(docs.selectExpr('xxhash64(text) as print', 'text'), sets, small=1).collect()}
     node = {r["doc_id"]: bytes(r["node"]) for r in sets.collect()}
     texts = [shingles(t) for _, t in rows]
     want = {frozenset((node[a], node[b])) for a in range(len(rows)) for b in range(a) if node[a] != node[b] and 100 * len(texts[a] & texts[b]) >= 85 * len(texts[a] | texts[b])}
@@ -103,7 +104,7 @@ def test_tree_join_against_all_pairs():
     rng = np.random.default_rng(2)
     start, low, high, size = [0], [], [], []
     for n in (1, 2, 17, 300, 0, 40):
-        count = rng.integers(0, 6, (n, 16)).astype(np.uint8)
+        count = (rng.integers(0, 40, (1, 16)) + rng.integers(0, 9, (n, 16))).astype(np.uint8)
         low.append(count[:, :8].copy().view(np.int64).ravel())
         high.append(count[:, 8:].copy().view(np.int64).ravel())
         size.append(count.sum(1).astype(np.int64))
@@ -124,7 +125,7 @@ def test_point_bounds_every_overlap():
     rng = np.random.default_rng(3)
     for n in (1, 300, 5000, 80_000):
         own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
-        count, shift = jaccard.point(own)
+        count, shift = jaccard.point(own, 16)
         assert (count.astype(int) << shift >= np.bincount((own >> np.uint64(60)).astype(int), minlength=16)).all() and count.sum() << shift < 1.1 * len(own) + 16
 
 
