@@ -304,8 +304,55 @@ def crowded(dealt: DataFrame, small: int = SMALL) -> DataFrame:
     return dealt.mapInArrow(run, "slab bigint, half bigint, size bigint, low bigint, high bigint, a bigint, b bigint")
 
 
-def second_pairs(dealt: DataFrame) -> DataFrame:
-    """All pairs (a, b) of rows (slab, i, j, half, size, low, high, label) that may be linked and have different labels."""
+class FinePoints:
+    """The finer points of sets, by half, in sorted files of the shared folder."""
+
+    def __init__(self, some: DataFrame):
+        folder = scratch_path(some.sparkSession, "fine")
+
+        def run(batches):
+            parts = [b for b in batches if b.num_rows]
+            if parts:
+                half = np.concatenate([b.column("half").to_numpy() for b in parts])
+                fine = b"".join(x.as_py() for b in parts for x in b.column("fine"))
+                path = fresh(folder, "fine")
+                write_arrays(path, {"half": half, "fine": np.frombuffer(fine, np.uint8)})
+                yield pa.RecordBatch.from_pydict({"first": pa.array([int(half[0])], pa.int64()), "path": [path]})
+
+        files = some.select("half", "fine").repartitionByRange("half").sortWithinPartitions("half").mapInArrow(run, "first bigint, path string")
+        self.files = [tuple(r) for r in written_table(files, "fine-files").orderBy("first").collect()]
+
+    def of(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes with shifts, counts) of sorted halves."""
+        cuts = [*np.searchsorted(halves, [f for f, _ in self.files]), len(halves)]
+        found = np.empty((len(halves), FINE + 8), np.uint8)
+        for (_, path), s, e in zip(self.files, cuts, cuts[1:]):
+            if e > s:
+                part = map_arrays(path)
+                found[s:e] = part["fine"].reshape(-1, FINE + 8)[np.searchsorted(part["half"], halves[s:e])]
+        return found[:, :8].copy().view(np.int64).ravel(), found[:, 8:]
+
+
+def second_pairs(dealt: DataFrame, fine: FinePoints) -> DataFrame:
+    """All pairs (a, b) of rows (slab, i, j, half, size, low, high, label) with different labels that both bounds let through."""
+    def finer(half):
+        names, place = np.unique(half, return_inverse=True)
+        size, count = fine.of(names)
+        shift, size = (size & 255).astype(np.int64), size >> 8
+
+        def reach(i, j):
+            good = []
+            for s in range(0, len(i), 1 << 12):
+                x, y = place[i[s:s + (1 << 12)]], place[j[s:s + (1 << 12)]]
+                if shift[x].any() or shift[y].any():
+                    total = np.minimum(count[x].astype(np.int64) << shift[x][:, None], count[y].astype(np.int64) << shift[y][:, None]).sum(1)
+                else:
+                    total = np.minimum(count[x], count[y]).sum(1, dtype=np.int64)
+                good.append(total >= needed(size[x], size[y]))
+            return np.concatenate(good)
+
+        return reach
+
     def run(batches):
         for keys, half, size, low, high, label, side in _whole_groups(batches, ["slab", "i", "j"], ("half", *_ENTRY[2:], "label", "side")):
             half = half.view(np.int64)
@@ -315,9 +362,10 @@ def second_pairs(dealt: DataFrame) -> DataFrame:
             for some, with_side in ((~mixed, False), (mixed, True)):
                 at = np.flatnonzero(some)
                 if len(at):
-                    begin = _starts([k[at] for k in keys])
+                    begin, reach = _starts([k[at] for k in keys]), finer(half[at])
                     for i, j in tree_join(begin, Points(size[at], low[at], high[at]), own[at], side[at] if with_side else None):
-                        a, b = half[at[i]], half[at[j]]
+                        good = reach(i, j)
+                        a, b = half[at[i[good]]], half[at[j[good]]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
@@ -378,11 +426,8 @@ def candidates(texts: DataFrame, sets: DataFrame, ends: DataFrame, name: str, sh
     return written_table(found.groupBy("half", "node").agg(F.first("fine").alias("fine"), F.first("members").alias("members")), f"{name}-sets")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Links (a, b, a_half, b_half) of the nodes whose halves are paired and whose sets are linked."""
-    pairs = written_table(pairs.distinct(), f"{name}-pairs")
-    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), f"{name}-ends")
-    some = candidates(texts, sets, ends, name)
+def confirmed(pairs: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """Links (a, b, a_half, b_half) of the nodes whose halves are paired and whose sets (of candidates) are linked."""
 
     def kept(test):
         def run(batches):
@@ -425,7 +470,9 @@ def links(texts: DataFrame, sets: DataFrame, small: int = SMALL, slab: int = SLA
     """
     dealt = entries(texts.select("text"), bucket_order(texts.select("text"))).repartition("slab").sortWithinPartitions("slab", "size", "low", "high", "half")
     rows = written_table(crowded(dealt, small), "crowded")
-    first = confirmed(rows.filter("slab is null").select("a", "b"), texts, sets, "first")
+    pairs = written_table(rows.filter("slab is null").select("a", "b").distinct(), "first-pairs")
+    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), "first-ends")
+    first = confirmed(pairs, candidates(texts, sets, ends, "first"), "first")
     roots = connected(first.select("a", "b"))
     ends = first.select(F.col("a").alias("node"), F.col("a_half").alias("half")).unionByName(first.select(F.col("b").alias("node"), F.col("b_half").alias("half")))
     labels = written_table(ends.distinct().join(roots, "node").select("half", F.xxhash64("root").alias("label")), "labels")
@@ -434,10 +481,13 @@ def links(texts: DataFrame, sets: DataFrame, small: int = SMALL, slab: int = SLA
     mixed = own.groupBy("slab").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most")
     mixed = mixed.select("slab", F.ceil(F.col("n") / slab).cast("long").alias("parts"))
     part = F.pmod("half", "parts")
-    dealt = own.join(mixed, "slab").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = written_table(own.join(mixed, "slab"), "mixed")
+    some = candidates(texts, sets, own.select("half").distinct(), "second")
+    dealt = own.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select(*_ENTRY, "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     dealt = dealt.repartition("slab", "i", "j").sortWithinPartitions("slab", "i", "j", "label", "size", "low", "high")
-    return first.unionByName(confirmed(second_pairs(dealt), texts, sets, "second")).select("a", "b")
+    pairs = written_table(second_pairs(dealt, FinePoints(some)).distinct(), "second-pairs")
+    return first.unionByName(confirmed(pairs, some, "second")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, slab: int = SLAB) -> DataFrame:

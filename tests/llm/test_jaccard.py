@@ -75,8 +75,8 @@ def test_second_round_finds_what_the_first_leaves(spark, monkeypatch):
     sets = jaccard.sets_of(docs)
     own = jaccard.confirmed
 
-    def none_at_first(pairs, texts, sets, name):
-        return own(pairs.limit(0) if name == "first" else pairs, texts, sets, name)
+    def none_at_first(pairs, some, name):
+        return own(pairs.limit(0) if name == "first" else pairs, some, name)
 
     monkeypatch.setattr(jaccard, "confirmed", none_at_first)
     got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard.links(docs.selectExpr('xxhash64(text) as print', 'text'), sets, small=1).collect()}
