@@ -1,9 +1,7 @@
 """Quality verdicts: fixed rules, then a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-A word is cut to its last ENDING code points, whose one- and two-grams are hashed into BUCKETS
-buckets: endings are few in any language, so buckets do not fill up with a growing corpus. Two
-multinomials are counted over the buckets, one from trusted texts and one from all texts. A
-text's score is the mean over its grams of log(trusted / raw); it is kept at THRESHOLD or more.
+The one- and two-grams of words are hashed into BUCKETS buckets. Two multinomials are counted
+over the buckets, one from trusted texts and one from all texts. A text's score is the mean over its grams of log(trusted / raw); it is kept at THRESHOLD or more.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from pyspark.sql import functions as F
 from revlens.llm.shared import WORD, free
 from revlens.session import written_table
 
-ENDING = 3
 BUCKETS = 1 << 16
 THRESHOLD = -0.3
 #: Trusted texts the target model is fitted on at most: those whose ids have the smallest digests.
@@ -27,28 +24,36 @@ SYMBOLS = r"[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, r"[ \t-\r]+"), "")
 
 
-def with_grams(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Add the buckets of the one- and two-grams of word endings.
+def with_digests(df: DataFrame, words: str, out: str) -> DataFrame:
+    return df.withColumn(out, F.transform(words, lambda w: F.xxhash64(w)))
 
-    Steps that are used more than once are columns of their own, so that Spark computes them once.
-    """
-    (ends,) = free(df, "ends")
-    df = df.withColumn(ends, F.transform(words, lambda w: F.xxhash64(F.substring(w, -ENDING, ENDING))))
-    e, n = F.col(ends), F.size(ends)
-    pairs = F.zip_with(F.slice(e, 1, F.greatest(n - 1, F.lit(0))), F.slice(e, 2, n), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
-    buckets = F.transform(F.concat(e, pairs), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    return df.withColumn(out, buckets).drop(ends)
+
+def _joined(e: Column, step: int) -> Column:
+    """Digests of each place with the one ``step`` places on: of 2n places if those are of n = step."""
+    n = F.greatest(F.size(e) - step, F.lit(0))
+    return F.zip_with(F.slice(e, 1, n), F.slice(e, step + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def with_grams(df: DataFrame, digests: str, out: str) -> DataFrame:
+    """Add the buckets of the one- and two-grams of words."""
+    e, n = F.col(digests), F.greatest(F.size(digests) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(e, 1, n), F.slice(e, 2, n), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
+    return df.withColumn(out, F.transform(F.concat(e, pairs), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
 
 
-def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Add the number of words in a WINDOW-word window that is found at another place of the text too."""
+def with_repeats(df: DataFrame, digests: str, out: str) -> DataFrame:
+    """Add the number of words in a WINDOW-word window that is found at another place of the text too.
+
+    Digests of windows are made by doubling, so WINDOW is a power of two. Steps that are used more
+    than once are columns of their own, so that Spark computes them once.
+    """
     windows, twice, ordered, places = free(df, "windows", "twice", "ordered", "places")
-    n = F.size(words)
-    starts = F.slice(words, 1, F.greatest(n - (WINDOW - 1), F.lit(0)))
-    df = df.withColumn(windows, F.transform(starts, lambda w, i: F.xxhash64(F.slice(words, i + 1, WINDOW))))
+    df, step = df.withColumn(windows, F.col(digests)), 1
+    while step < WINDOW:
+        df, step = df.withColumn(windows, _joined(F.col(windows), step)), 2 * step
     df = df.withColumn(twice, F.size(F.array_distinct(windows)) < F.size(windows))
     pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     df = df.withColumn(ordered, F.when(F.col(twice), F.sort_array(pairs)))
@@ -85,7 +90,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # at most TRUSTED ids are sent to all tasks
     marked = texts.join(F.broadcast(ids), "id", "left").select(words(F.col("text")).alias("words"), F.coalesce("hit", F.lit(0)).alias("hit"))
-    counted = with_grams(marked, "words", "grams").select(F.explode("grams").alias("bucket"), "hit").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
+    counted = with_grams(with_digests(marked, "words", "digests"), "digests", "grams").select(F.explode("grams").alias("bucket"), "hit").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     rows = written_table(counted, "grams").collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
@@ -100,19 +105,25 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     A null text has no words. Rows with fewer than MIN_WORDS words, or with more than MAX_REPEAT
     of them in repeated windows, fail the fixed rules. A text without words has a null score.
+    Repeated rows are each judged; an id that is trusted once is trusted. An empty table gives no
+    rows. Columns added on the way have names that docs does not use. A row number, which Spark
+    must not move, holds filters on the verdict above the steps that compute it.
     """
     table = F.lit(np.round(ratios(docs, trusted, id_col, text_col), 6))
-    verdict, text, split, buckets, repeats = free(docs, "verdict", "text", "words", "buckets", "repeats")
+    verdict, text, split, digests, buckets, repeats, row = free(docs, "verdict", "text", "words", "digests", "buckets", "repeats", "row")
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(split, words(F.col(text)))
-    rows = with_grams(with_repeats(rows, split, repeats), split, buckets)
+    rows = with_digests(rows, split, digests)
+    rows = with_grams(with_repeats(rows, digests, repeats), digests, buckets)
     total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
     score = F.when(F.size(buckets) > 0, total / F.size(buckets))
     found = measures(F.col(text), F.col(split)) | {"n_repeat_words": F.col(repeats), "score": score}
-    rows = rows.withColumn(verdict, F.struct(*[c.alias(k) for k, c in found.items()])).drop(text, split, buckets, repeats)
+    rows = rows.withColumn(verdict, F.struct(*[c.alias(k) for k, c in found.items()])).drop(text, split, digests, buckets, repeats)
     v = F.col(verdict)
     failed = (v["n_words"] < MIN_WORDS) | (100 * v["n_repeat_words"] > F.lit(round(100 * MAX_REPEAT)) * v["n_words"])
     rows = rows.withColumn(verdict, v.withField("base_failed", failed))
-    return rows.withColumn(verdict, v.withField("kept", ~v["base_failed"] & (F.coalesce(v["score"], F.lit(0.0)) >= threshold)))
+    rows = rows.withColumn(verdict, v.withField("kept", ~v["base_failed"] & (F.coalesce(v["score"], F.lit(0.0)) >= threshold)))
+    rows = rows.withColumn(row, F.monotonically_increasing_id())
+    return rows.withColumn(verdict, F.when(F.col(row) >= 0, v)).drop(row)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +135,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a good verdict, with their own columns."""
-    verdict, row = free(docs, "verdict", "row")
-    rows = judge(docs, labels.filter("quality = 1"), id_col, text_col)
-    # A filter on plain columns would be moved below all steps of judge and compute them once for
-    # every element they are used with; a row number, which must not move, holds it in place.
-    rows = rows.withColumn(row, F.monotonically_increasing_id())
-    return rows.filter(F.col(verdict)["kept"] & (F.col(row) >= 0)).select(*docs.columns)
+    (verdict,) = free(docs, "verdict")
+    return judge(docs, labels.filter("quality = 1"), id_col, text_col).filter(F.col(verdict)["kept"]).select(*docs.columns)

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ def test_measures_of_all_rows(spark):
 
 def buckets(text):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    ends = [signed(xxhash.xxh64_intdigest(w[-3:].encode(), 42)) for w in words(text)]
+    ends = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words(text)]
     return [h & quality.BUCKETS - 1 for h in [*ends, *[(a << 1) ^ b for a, b in zip(ends, ends[1:])]]]
 
 
@@ -57,6 +58,16 @@ def test_kept_columns_and_no_trusted_text(spark):
     assert quality.verdicts(nothing(spark), none).collect() == []
 
 
+def test_filters_stay_above_the_verdict(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    began = time.monotonic()
+    want = sum(r["base_failed"] for r in quality.verdicts(docs, labels).collect())
+    whole, began = time.monotonic() - began, time.monotonic()
+    assert quality.verdicts(docs, labels).filter("base_failed or n_words > 100000").count() == want
+    assert time.monotonic() - began < 10 + 2 * whole
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
