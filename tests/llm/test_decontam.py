@@ -64,6 +64,15 @@ def test_odd_rows(spark):
     assert decontam.without_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_common_against_the_table():
+    rng = random.Random(1)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 90))]
+        b = [rng.randrange(6) for _ in range(rng.randrange(0, 120))]
+        b = [w for w in b if w in a]
+        assert decontam.common(a, b) == common_words(a, b)
+
+
 def test_recall_on_given_rows(spark):
     """Against a plain search for shared five-word runs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
