@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import revlens
-from revlens.llm import decontam, language, mixing, nearcopies, quality
+from revlens.llm import decontam, language, mixing, quality, simhash
 from revlens.session import written_table
 
 # Python workers may start in another folder: send the helpers along instead of importing them.
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return nearcopies.one_of_each(docs)
+    """One document of each group of fingerprints that chains of at most four differing bits join stays."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
