@@ -46,4 +46,4 @@ def test_odd_and_empty_tables(spark, rows):
     docs = documents(spark)
     docs = docs if rows is None else docs.limit(rows)
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema if _ != "mixing sources to target weights" else docs.schema.add("_copies", "bigint"))
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema if _ != "mixing sources to target weights" else docs.schema.add("_copies", "long"))
