@@ -72,7 +72,7 @@ EDITS = (
     " 'Changed Sentence' as change_desc from sim where same"
     " union all select article, rev_seq, k, 0, 'Text:Sentence:Insert', '', n, 'Inserted Sentence' from sim where not same and n is not null"
     " union all select article, rev_seq, k, 1, 'Text:Sentence:Remove', o, '', 'Removed Sentence' from sim where not same and o is not null),"
-    " edits as (select article, rev_seq, 4194303 + row_number() over (partition by article, rev_seq order by k, part) as change_seq,"
+    " edits as (select article, rev_seq, 2147483647 + row_number() over (partition by article, rev_seq order by k, part) as change_seq,"
     " change_type, diff_before, diff_after, change_desc from ed)"
 )
 
