@@ -20,6 +20,7 @@ from revlens.sources import articles as article_source
 from revlens.sources import categories, geojson, history
 from revlens.streaming import ingest, live
 from revlens.workload import fixtures as fx
+from revlens.workload import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -514,4 +515,5 @@ def queries() -> dict[str, Query]:
         "stream_first_seen": stream_first_seen,
         "stream_daily_window": stream_daily_window,
         "stream_ingest": stream_ingest,
+        **stored.queries(),
     }
