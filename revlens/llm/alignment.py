@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from revlens.llm.tokens import PATTERN, TESTED, _byte_letters
 from revlens.session import scratch_path, written_table
 
 #: Bytes of text in one block of matrices, and pairs a task counts before it hands them over.
-CHUNK, HELD = 1 << 20, 1 << 21
+CHUNK, HELD = 1 << 20, 1 << 20
 #: Entries a product may expand to at once.
 EXPAND = 1 << 22
 
@@ -167,7 +168,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                     first, second = a.ids(" " + text), b.ids(text)
                     want = b" " + text.encode()
                     if b"".join(map(a.pieces.__getitem__, first)) == want and b"".join(map(b.pieces.__getitem__, second)) == want:
-                        pair = np.array(first, np.int32).tobytes(), np.array(second, np.int32).tobytes()
+                        pair = array("i", first).tobytes(), array("i", second).tobytes()
                 out.append(pair)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)]], names=["doc_id", "a", "b"])
 
@@ -211,13 +212,15 @@ class Block:
         ends = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
         digits = len(str(ids.max()))
         power = 10 ** np.arange(digits - 1, -1, -1)
-        shown = np.empty((len(ids), digits + 1), np.uint8)
-        shown[:, :digits] = ids[:, None] // power % 10 + ord("0")
+        every = np.arange(ids.max() + 1)[:, None]
+        spelt = np.zeros((len(every), digits + 1), np.uint8)
+        spelt[:, :digits] = np.where((every >= power) | (power == 1), every // power % 10 + ord("0"), 0)
+        shown = spelt[ids]
         shown[:, digits] = np.where(ends, np.where(side == 0, ord("|"), ord(";")), ord(","))
-        used = np.ones(shown.shape, bool)
-        used[:, : digits - 1] = ids[:, None] >= power[:-1]
-        flat = shown[used].tobytes()
-        size = np.bincount(row[order], used.sum(1), self.size).astype(np.int64)
+        flat = shown.ravel()
+        flat = flat[flat > 0].tobytes()
+        length = np.count_nonzero(spelt, axis=1) + 1
+        size = np.bincount(row[order], length[ids], self.size).astype(np.int64)
         at = np.append(0, np.cumsum(size)).tolist()
         return [flat[s:e - 1] if e > s else b"" for s, e in zip(at, at[1:])]
 
@@ -239,8 +242,11 @@ def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> It
         ids = tuple(flat[x][at[x][k]:at[x][stop]].view(np.int32).astype(np.int64) for x in (0, 1))
         row = tuple(np.repeat(np.arange(stop - k), np.diff(at[x][k:stop + 1]) // 4) for x in (0, 1))
         matrices = tuple(incidence(lengths[x][ids[x]]) for x in (0, 1))
-        cuts = np.intersect1d(matrices[0].indptr[1:], matrices[1].indptr[1:], assume_unique=True)
-        groups = tuple(np.searchsorted(cuts, m.indptr[:-1], "right") for m in matrices)
+        ends = np.zeros(matrices[0].width + 1, np.int8)
+        for m in matrices:
+            ends[m.indptr[1:]] += 1
+        cuts = np.cumsum(ends == 2)
+        groups = tuple(cuts[m.indptr[:-1]] for m in matrices)
         yield k, Block(ids, row, matrices, groups, stop - k)
         k = stop
 
@@ -269,6 +275,8 @@ def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 i, j = block.all_links()
                 key = np.unique((block.row[0][i] * len(lengths[0]) + block.ids[0][i]) * width + block.ids[1][j])
                 parts.append(np.unique(key % (len(lengths[0]) * width), return_counts=True))
+                if sum(len(p) for p, _ in parts) > HELD:
+                    parts = [merged(parts)]
             held = merged(parts)
             if len(held[0]) > HELD:
                 yield handed(*held)
