@@ -85,27 +85,33 @@ class Tokenizer:
             pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
             self.ids = model.encode
         else:
-            import tokenizers
-
-            library = tokenizers.Tokenizer.from_file(path)
-            library.encode_special_tokens = True
-            library.no_truncation()
-            library.no_padding()
-            names = library.get_vocab(with_added_tokens=True)
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            names = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
             pieces = [""] * (max(names.values()) + 1)
             for name, k in names.items():
                 pieces[k] = name
             letters = {c: b for b, c in _byte_letters().items()}
-            whole = lambda text: library.encode(text, add_special_tokens=False).ids
-            fast = _ranked(path, library, pieces, letters)
-            if fast and odd is not None:
+            self.path, self._library = path, None
+            self.fast = _ranked(spec, letters)
+            if self.fast and odd is not None:
                 left = re.compile(f"[{re.escape(odd)}{chr(TESTED)}-\U0010FFFF]")
-                self.ids = lambda text: whole(text) if left.search(text) else fast(text)
+                self.ids = lambda text: self.whole(text) if left.search(text) else self.fast(text)
             else:
-                self.ids = whole
-            self.fast, self.whole = fast, whole
+                self.ids = self.whole
         self.pieces = [_piece_bytes(p) if self.sentence else _letter_bytes(p, letters) for p in pieces]
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.lengths = np.array([len(p) for p in self.pieces], np.int32)
+
+    def whole(self, text: str) -> list[int]:
+        """The ids by the library itself, which is loaded when first asked."""
+        if self._library is None:
+            import tokenizers
+
+            self._library = tokenizers.Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library.encode(text, add_special_tokens=False).ids
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -117,17 +123,15 @@ def _letter_bytes(piece: str, letters: dict[str, int]) -> bytes:
     return bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
 
 
-def _ranked(path: str, library, pieces: list[str], letters: dict[str, int]):
+def _ranked(spec: dict, letters: dict[str, int]):
     """A faster encoder with the same vocabulary, if merges are in the order of the ids; else nothing."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
     quiet = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     if not (plain and quiet and model.get("type") == "BPE" and spec.get("normalizer") is None):
         return None
     merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-    places = [model["vocab"].get(m, -1) for m in merged]
+    places = [model["vocab"].get(m, -1) for m in merged]  # whole strings, so that ids are the ranks
     if places != sorted(set(places)) or len(places) + 256 != len(model["vocab"]):
         return None
     import tiktoken
@@ -241,7 +245,7 @@ def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> It
             stop += 1
         ids = tuple(flat[x][at[x][k]:at[x][stop]].view(np.int32).astype(np.int64) for x in (0, 1))
         row = tuple(np.repeat(np.arange(stop - k), np.diff(at[x][k:stop + 1]) // 4) for x in (0, 1))
-        matrices = tuple(incidence(lengths[x][ids[x]]) for x in (0, 1))
+        matrices = tuple(incidence(lengths[x][ids[x]].astype(np.int64)) for x in (0, 1))
         ends = np.zeros(matrices[0].width + 1, np.int8)
         for m in matrices:
             ends[m.indptr[1:]] += 1
@@ -252,13 +256,15 @@ def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> It
 
 
 def _lengths(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every id; the vocabularies bound what goes along to the tasks."""
     return Tokenizer(a_path).lengths, Tokenizer(b_path).lengths
 
 
 def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(a_id, b_id, n): in how many of the encoded texts the ids are linked at least once."""
+    lengths = _lengths(a_path, b_path)
+
     def run(batches):
-        lengths = _lengths(a_path, b_path)
         width = len(lengths[1])
         held = [np.empty(0, np.int64), np.empty(0, np.int64)]
 
@@ -328,10 +334,9 @@ def count_files(counts: DataFrame, width: int) -> Counts:
 
 def links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", by: str = "bytes") -> DataFrame:
     """(doc_id, a_place, b_place, a_id, b_id) of every link of every text; by: ``bytes`` they share, or the same ``group``."""
-    texts = encoded(docs, a_path, b_path, id_col, text_col)
+    texts, lengths = encoded(docs, a_path, b_path, id_col, text_col), _lengths(a_path, b_path)
 
     def run(batches):
-        lengths = _lengths(a_path, b_path)
         for batch in batches:
             for k, block in _blocks(batch, lengths):
                 for i, j in block.links() if by == "bytes" else block.group_links():
@@ -354,11 +359,11 @@ def report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     on all executors. An empty table gives no rows; other columns are left out.
     """
     texts = written_table(encoded(docs, a_path, b_path, id_col, text_col), "encoded")
-    width = len(Tokenizer(b_path).lengths)
+    lengths = _lengths(a_path, b_path)
+    width = len(lengths[1])
     counts = count_files(written_table(pair_counts(texts, a_path, b_path), "pair-counts"), width)
 
     def run(batches):
-        lengths = _lengths(a_path, b_path)
         for batch in batches:
             found: list[list] = [[] for _ in MEASURES]
             hashes: list[str] = []
