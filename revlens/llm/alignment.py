@@ -27,8 +27,10 @@ from revlens.llm.shared import fresh, map_arrays, write_arrays
 from revlens.llm.tokens import PATTERN, TESTED, _byte_letters
 from revlens.session import scratch_path, written_table
 
-#: Bytes of text in one block of matrices, and pairs a task counts before it hands them over.
-CHUNK, HELD = 1 << 20, 1 << 20
+#: Bytes of ids in one block of matrices, and pairs a task counts before it hands them over.
+CHUNK, HELD = 1 << 18, 1 << 19
+#: Texts that go from one task to the next at a time.
+TEXTS = 512
 #: Entries a product may expand to at once.
 EXPAND = 1 << 22
 
@@ -42,16 +44,17 @@ class Csr:
     width: int
 
     def transposed(self) -> Csr:
-        row = np.repeat(np.arange(len(self.indptr) - 1), np.diff(self.indptr))
-        order = np.argsort(self.indices, kind="stable")
+        row = np.repeat(np.arange(len(self.indptr) - 1, dtype=np.int32), np.diff(self.indptr))
+        if (self.indices[1:] < self.indices[:-1]).any():
+            row = row[np.argsort(self.indices, kind="stable")]
         size = np.bincount(self.indices, minlength=self.width)
-        return Csr(np.append(0, np.cumsum(size)), row[order], len(self.indptr) - 1)
+        return Csr(np.append(0, np.cumsum(size)), row, len(self.indptr) - 1)
 
 
 def incidence(lengths: np.ndarray) -> Csr:
     """Tokens by bytes, for tokens of these lengths that follow each other."""
     indptr = np.append(0, np.cumsum(lengths))
-    return Csr(indptr, np.arange(indptr[-1]), int(indptr[-1]))
+    return Csr(indptr, np.arange(indptr[-1], dtype=np.int32), int(indptr[-1]))
 
 
 def product(a: Csr, b: Csr) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,7 +167,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = Tokenizer(a_path, odd), Tokenizer(b_path)
-        for batch in batches:
+        for batch in (b.slice(s, TEXTS) for b in batches for s in range(0, b.num_rows, TEXTS)):
             out: list[tuple[bytes, bytes]] = []
             for text in batch.column("text"):
                 pair, text = (b"", b""), text.as_py()
