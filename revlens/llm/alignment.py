@@ -28,7 +28,7 @@ from revlens.llm.tokens import PATTERN, TESTED, _byte_letters
 from revlens.session import scratch_path, written_table
 
 #: Bytes of ids in one block of matrices, and pairs a task counts before it hands them over.
-CHUNK, HELD = 1 << 18, 1 << 19
+CHUNK, HELD = 1 << 17, 1 << 19
 #: Texts that go from one task to the next at a time.
 TEXTS = 512
 #: Entries a product may expand to at once.
@@ -160,13 +160,19 @@ def odd_characters(path: str) -> str | None:
     return "".join(odd)
 
 
+def _kind(size: int) -> np.dtype:
+    """How an id of a vocabulary of this size is stored."""
+    return np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
+
+
 def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, a, b): the ids of every text as 32-bit numbers, empty if the bytes of either are not space and text."""
+    """(doc_id, a, b): the ids of every text as numbers of 16 bits if the vocabulary allows it, else 32, empty if the bytes of either are not space and text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     odd = odd_characters(a_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = Tokenizer(a_path, odd), Tokenizer(b_path)
+        kinds = [_kind(len(t.pieces)).char for t in (a, b)]
         for batch in (b.slice(s, TEXTS) for b in batches for s in range(0, b.num_rows, TEXTS)):
             out: list[tuple[bytes, bytes]] = []
             for text in batch.column("text"):
@@ -175,7 +181,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                     first, second = a.ids(" " + text), b.ids(text)
                     want = b" " + text.encode()
                     if b"".join(map(a.pieces.__getitem__, first)) == want and b"".join(map(b.pieces.__getitem__, second)) == want:
-                        pair = array("i", first).tobytes(), array("i", second).tobytes()
+                        pair = array(kinds[0], first).tobytes(), array(kinds[1], second).tobytes()
                 out.append(pair)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)]], names=["doc_id", "a", "b"])
 
@@ -234,6 +240,7 @@ class Block:
 
 def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, Block]]:
     """(first row, block) of a batch of encoded texts; a longer text is a block of its own."""
+    kinds = [_kind(len(x)) for x in lengths]
     flat, at = [], []
     for name in "ab":
         column = batch.column(name)
@@ -246,8 +253,8 @@ def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> It
         stop = k + 1
         while stop < n and at[0][stop + 1] - at[0][k] <= CHUNK:
             stop += 1
-        ids = tuple(flat[x][at[x][k]:at[x][stop]].view(np.int32).astype(np.int64) for x in (0, 1))
-        row = tuple(np.repeat(np.arange(stop - k), np.diff(at[x][k:stop + 1]) // 4) for x in (0, 1))
+        ids = tuple(flat[x][at[x][k]:at[x][stop]].view(kinds[x]).astype(np.int64) for x in (0, 1))
+        row = tuple(np.repeat(np.arange(stop - k), np.diff(at[x][k:stop + 1]) // kinds[x].itemsize) for x in (0, 1))
         matrices = tuple(incidence(lengths[x][ids[x]].astype(np.int64)) for x in (0, 1))
         ends = np.zeros(matrices[0].width + 1, np.int8)
         for m in matrices:
