@@ -1,9 +1,10 @@
 """Wiki markup: plain text, and the nodes (templates, links, references) of a text.
 
 Grammar of this module
-* A template is ``{{name|part|key=part}}``. Templates are peeled from the inside out, as
-  often as the text is deep, so nesting has no limit. Inside an outer template a peeled
-  inner one stays visible by name only, as ``{{name}}``.
+* A template is ``{{name|part|key=part}}``. Closing braces close the nearest opening ones, so
+  nesting has no limit (see ``braces``). They come in the order in which they close. Inside an outer template an
+  inner one stays visible by name only, as ``{{name}}``; a name that holds a template itself is
+  shown there up to that one.
 * A link is ``[[title]]`` or ``[[title|text]]``.
 * A reference is ``<ref ...>text</ref>``; its name is the value of the ``name`` attribute.
 * Anything left open is plain text.
@@ -14,61 +15,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revlens.functions import braces
 from revlens.functions.text import strip
 
-# One template without braces inside: name, then everything after the first bar.
-INNER_TEMPLATE = r"\{\{([^{}|]*)(\|[^{}]*)?\}\}"
-# Stand-ins for the braces of a peeled template and for bars that belong to a link. Where the
-# text holds one of these characters itself, it is written as the escape and a letter meanwhile.
-_OPEN, _CLOSE, _BAR, _ESCAPE = "\u0001", "\u0002", "\u0003", "\u0004"
-_ESCAPED = {_ESCAPE: "e", _OPEN: "o", _CLOSE: "c", _BAR: "b"}
+# Stand-in for bars that belong to a link. Where the text holds it or the escape itself, these
+# are written as the escape and a letter meanwhile.
+_BAR, _ESCAPE = "\u0003", "\u0004"
+_ESCAPED = {_ESCAPE: "e", _BAR: "b"}
 
 
-def template_depth(text: Column) -> Column:
-    """Deepest nesting of closed ``{{`` / ``}}`` pairs in the text, 0 when it holds none.
-
-    Closing pairs that close nothing all stand before opening pairs that are never closed. Up to
-    the last of the former a walk from the start sees closed pairs only, after it one from the end.
-    """
-    braces = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}"), F.lit(0))
-    zero = F.lit(0)
-
-    def forward(acc, b):
-        opens, at = b == "{{", acc["at"] + 1
-        stray = ~opens & (acc["now"] == 0)
-        now = F.when(opens, acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, zero))
-        return F.struct(
-            now.alias("now"),
-            F.greatest(acc["top"], now).alias("top"),
-            at.alias("at"),
-            F.when(stray, acc["top"]).otherwise(acc["kept"]).alias("kept"),
-            F.when(stray, at).otherwise(acc["cut"]).alias("cut"),
-        )
-
-    def backward(acc, b):
-        now = F.when(b == "}}", acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, zero))
-        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
-
-    head = F.aggregate(braces, F.struct(*[zero.alias(n) for n in ("now", "top", "at", "kept", "cut")]), forward, lambda acc: F.struct(acc["kept"].alias("kept"), acc["cut"].alias("cut")))
-    tail = F.aggregate(
-        F.reverse(F.slice(braces, head["cut"] + 1, F.size(braces))), F.struct(zero.alias("now"), zero.alias("top")), backward, lambda acc: acc["top"]
-    )
-    walked = F.greatest(head["kept"], tail)
-    return F.when(F.contains(text, F.lit("{{")), walked).otherwise(F.lit(0))
+def _templated(text: Column) -> Column:
+    """False only when the text holds no closed template. A cheap test before the pieces are cut."""
+    return F.contains(text, F.lit("{{")) & F.contains(text, F.lit("}}"))
 
 
-def _levels(text: Column) -> Column:
-    depth = template_depth(text)
-    return F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+def template_depth(text: Column) -> Column:
+    """Deepest nesting of closed templates in the text, 0 when it holds none."""
+    return F.when(_templated(text), braces.depth(text)).when(text.isNotNull(), 0)
 
 
 def without_templates(text: Column) -> Column:
-    peeled = F.aggregate(
-        _levels(text),
-        text,
-        lambda acc, _: F.when(acc.rlike(r"\{\{[^{}]*\}\}"), F.regexp_replace(acc, r"\{\{[^{}]*\}\}", "")).otherwise(acc),
-    )
-    return F.when(F.contains(text, F.lit("{{")), peeled).otherwise(text)
+    return F.when(_templated(text), braces.without(text)).otherwise(text)
 
 
 def plain_text(text: Column) -> Column:
@@ -86,32 +53,17 @@ def plain_text(text: Column) -> Column:
     return strip(F.when(text.rlike(r"[<{\[]|''"), t).otherwise(text))
 
 
-def _peel(text: Column) -> Column:
-    """All templates of a text, innermost level first, still in braces."""
-    walked = F.aggregate(
-        _levels(text),
-        F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out")),
-        lambda acc, _: F.struct(
-            F.regexp_replace(acc["rest"], INNER_TEMPLATE, f"{_OPEN}$1{_CLOSE}").alias("rest"),
-            F.concat(acc["out"], F.regexp_extract_all(acc["rest"], F.lit(INNER_TEMPLATE), F.lit(0))).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.contains(text, F.lit("{{")), walked).otherwise(F.array().cast("array<string>"))
-
-
 def escaped(text: Column) -> Column:
-    """Free the characters of the stand-ins."""
+    """Free the character of the stand-in."""
     out = text
     for char, letter in _ESCAPED.items():
         out = F.replace(out, F.lit(char), F.lit(_ESCAPE + letter))
-    return F.when(text.rlike("[\u0001-\u0004]"), out).otherwise(text)
+    return F.when(text.rlike("[\u0003\u0004]"), out).otherwise(text)
 
 
 def shown(text: Column) -> Column:
-    """Turn the stand-ins of this module back into markup, then the escaped characters into themselves."""
-    back = F.replace(text, F.lit(_OPEN), F.lit("{{"))
-    back = F.replace(back, F.lit(_CLOSE), F.lit("}}"))
-    back = F.replace(back, F.lit(_BAR), F.lit("|"))
+    """Turn the stand-in back into a bar, then the escaped characters into themselves."""
+    back = F.replace(text, F.lit(_BAR), F.lit("|"))
     for char, letter in reversed(_ESCAPED.items()):
         back = F.replace(back, F.lit(_ESCAPE + letter), F.lit(char))
     return back
@@ -119,13 +71,9 @@ def shown(text: Column) -> Column:
 
 def templates(text: Column) -> Column:
     """array<struct<kind, name, body>>; body is what follows the first bar."""
+    found = F.when(_templated(text), braces.parts(text)).otherwise(F.array().cast("array<struct<name: string, body: string>>"))
     return F.transform(
-        _peel(escaped(text)),
-        lambda t: F.struct(
-            F.lit("Template").alias("kind"),
-            shown(strip(F.regexp_extract(t, INNER_TEMPLATE, 1))).alias("name"),
-            F.substring(F.regexp_extract(t, INNER_TEMPLATE, 2), F.lit(2), F.length(t)).alias("body"),
-        ),
+        found, lambda t: F.struct(F.lit("Template").alias("kind"), strip(t["name"]).alias("name"), t["body"].alias("body"))
     )
 
 
@@ -165,10 +113,11 @@ def may_hold_nodes(text: Column) -> Column:
 
 def template_parts(body: Column) -> Column:
     """array<struct<key, value>> of a template body; parts without '=' are keyed by position."""
+    free = escaped(body)
     # Bars inside a link do not separate parts: hide them, cut, show them again.
     hidden = F.aggregate(
-        F.regexp_extract_all(body, F.lit(r"\[\[[^\[\]]*\|[^\[\]]*\]\]"), F.lit(0)),
-        body,
+        F.regexp_extract_all(free, F.lit(r"\[\[[^\[\]]*\|[^\[\]]*\]\]"), F.lit(0)),
+        free,
         lambda acc, link: F.replace(acc, link, F.replace(link, F.lit("|"), F.lit(_BAR))),
     )
     parts = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(hidden, r"\|"))
@@ -177,7 +126,7 @@ def template_parts(body: Column) -> Column:
         lambda p, i: F.when(
             F.contains(p, F.lit("=")),
             F.struct(
-                strip(F.substring_index(p, "=", 1)).alias("key"),
+                shown(strip(F.substring_index(p, "=", 1))).alias("key"),
                 shown(strip(F.substring(p, F.position(F.lit("="), p) + 1, F.length(p)))).alias("value"),
             ),
         ).otherwise(

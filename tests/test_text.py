@@ -1,6 +1,7 @@
 import random
 import re
 
+import plain_braces
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,48 @@ def test_needle_is_taken_literally(spark):
     rows = [("\u0000 a.b  a.b ", "a.b", [2, 8]), (r"x\Ey\Ex", r"\E", [1, 4]), ("a(b(", "(", [1, 3])]
     df = spark.createDataFrame([r[:2] for r in rows], "t string, n string")
     assert [r[0] for r in df.select(text.positions(F.col("t"), F.col("n"))).collect()] == [r[2] for r in rows]
+
+
+def peeled(text):
+    """Templates of a text by rounds over the innermost ones, as (round, start) and the text without them."""
+    pattern, found, rest, level = re.compile(r"\{\{[^{}]*\}\}"), [], text, 0
+    while pattern.search(rest):
+        level += 1
+        found += [(level, m.start(), m.end()) for m in pattern.finditer(rest)]
+        rest = pattern.sub(lambda m: "x" * len(m.group()), rest)  # keeps places
+    inside = {k for _, s, e in found for k in range(s, e)}
+    return sorted(found), "".join(c for k, c in enumerate(text) if k not in inside)
+
+
+def test_braces_against_peeling_and_a_plain_walk(spark):
+    rng = random.Random(7)
+    tokens = ["{", "}", "{{", "}}", "a", "|", "{{b", "}}}", "é𝒳"]
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randrange(16))) for _ in range(8000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    found = df.select(markup.templates(F.col("t")), markup.without_templates(F.col("t")), markup.template_depth(F.col("t"))).collect()
+    for text, (nodes, rest, depth) in zip(texts, found):
+        spans, left = peeled(text)
+        assert sorted(plain_braces.closed(text)) == spans and rest == left, text
+        assert depth == max((s[0] for s in spans), default=0), text
+        assert [(n["name"], n["body"]) for n in nodes] == [(a.strip(), b) for a, b in plain_braces.parts(text)], text
+
+
+def test_names_and_bodies_of_nested_templates(spark):
+    texts = ["{{a|x={{b|1}}|{{c}}y}} {{d{{e|f}}g|h}}", "{{a{{b{{c}}}}}}", "{{[[x|y]]|z}}{{}}{{|}}", "", None]
+    got = column(spark, texts, markup.templates)
+    assert [[(n["name"], n["body"]) for n in nodes] for nodes in got] == [
+        [("b", "1"), ("c", ""), ("a", "x={{b}}|{{c}}y"), ("e", "f"), ("d{{e}}g", "h")],
+        [("c", ""), ("b{{c}}", ""), ("a{{b}}", "")], [("[[x", "y]]|z"), ("", ""), ("", "")], [], [],
+    ]
+
+
+def test_one_megabyte_of_closed_nesting(spark):
+    import time
+
+    n = 150_000
+    rows = spark.createDataFrame([("{{ab " * n + "}}" * n,), ("{{ab|k=" * n + "}}" * n,), ("{{a}}" * n,), (None,)], "t string")
+    start = time.time()
+    found = markup.templates(F.col("t"))
+    got = rows.select(F.size(found), F.length(markup.without_templates(F.col("t"))), markup.template_depth(F.col("t"))).collect()
+    assert [tuple(r) for r in got[:3]] == [(n, 0, n), (n, 0, n), (n, 0, 1)] and got[3][1:] == (None, None)
+    assert time.time() - start < 30
