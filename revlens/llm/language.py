@@ -7,8 +7,10 @@
   over languages whose mean is the level above, counted by grouped aggregation;
 - the class ``und``, whose trigrams are all as likely, takes texts that fit no language.
 
-The text model is fitted on about SAMPLE rows that declare a language, chosen by the digest of
-their id; all counts of hosts and declarations cover all rows.
+The text model is fitted on about SAMPLE rows of each declared language, chosen by a digest of id
+and text, so that a rare language has as good a model as a frequent one. A row that is in the
+sample is judged without its own trigrams, as it is without its own place in the prior of its
+host. All counts of hosts and declarations cover all rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from revlens.llm.words import text_bytes
 from revlens.session import written_table
 
 BUCKETS = 1 << 16
-SAMPLE = 20_000
-#: Share of the labelled sample from which a declared code is a language of the model.
-LEAST_SHARE = 0.001
+#: Labelled rows of each declared language that the text model is fitted on, about.
+SAMPLE = 5_000
+#: Rows from which a declared code is a language of the model; fewer say too little of its trigrams.
+LEAST_ROWS = 5
 #: Added to every count of a bucket; small, so that foreign text stays below the even odds of ``und``.
 SMOOTHING = 0.05
 UNKNOWN = "und"
@@ -75,13 +78,35 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihoods: BUCKETS x languages and ``und``) from rows (id, text, declared)."""
-    labelled = rows.filter("declared is not null")
-    share = min(1.0, sample / max(1, labelled.count()))
-    edge = int(share * (1 << 32))
-    chosen = labelled.filter(F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)) < F.lit(edge)) if share < 1 else labelled
+def _counts(data: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs in one text."""
+    sums = np.zeros(BUCKETS, np.int64)
+    for s in range(0, len(data) - 2, PIECE):
+        sums += np.bincount(trigrams(data[s:s + PIECE + 2]), minlength=BUCKETS)
+    return sums
 
+
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """rows (id, text, declared, ...) with ``fits``: about ``sample`` rows of each declared language.
+
+    All rows of a language with no more than that. Rows that repeat id and text fit together;
+    rows without an id are told apart by their text. Rows that declare nothing do not fit.
+    """
+    tags = rows.filter("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
+    edge = (F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 32)).cast("bigint")
+    tags = written_table(tags.select("declared", edge.alias("edge")), "tags")
+    # tags have two or three letters: at most 18,252 rows
+    joined = rows.join(F.broadcast(tags), "declared", "left")
+    drawn = F.xxhash64("id", "text").bitwiseAND(F.lit(0xFFFFFFFF)) < F.col("edge")
+    return joined.withColumn("fits", F.coalesce(drawn, F.lit(False))).drop("edge")
+
+
+def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, counts: BUCKETS x languages) from rows (text, declared, fits), of those that fit.
+
+    Null and empty texts count as rows without trigrams. 512 kB a language reach the driver; there are as
+    many languages as two- and three-letter codes with LEAST_ROWS rows, whatever their share of the table.
+    """
     def count(batches):
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
@@ -89,41 +114,66 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
             for tag in sorted(set(tags)):
                 sums = np.zeros(BUCKETS, np.int64)
                 for k in np.flatnonzero(tags == tag):
-                    sums += np.bincount(trigrams(data[at[k]:at[k + 1]]), minlength=BUCKETS) if at[k + 1] - at[k] > 2 else 0
+                    sums += _counts(data[at[k]:at[k + 1]])
                 some = np.flatnonzero(sums)
                 n = int((tags == tag).sum())
                 yield pa.RecordBatch.from_pydict(
                     {"tag": [tag] * (len(some) + 1), "bucket": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(sums[some], n), pa.int64())}
                 )
 
-    counted = chosen.select("text", "declared").mapInArrow(count, "tag string, bucket int, n bigint").groupBy("tag", "bucket").agg(F.sum("n").alias("n"))
+    chosen = rows.filter("fits").select("text", "declared")
+    counted = chosen.mapInArrow(count, "tag string, bucket int, n bigint").groupBy("tag", "bucket").agg(F.sum("n").alias("n"))
     counted = written_table(counted, "trigrams")
-    tags = {r["tag"]: r["n"] for r in counted.filter("bucket = -1").collect()}
-    names = sorted(t for t, n in tags.items() if n >= LEAST_SHARE * sum(tags.values()))
-    table = np.zeros((BUCKETS, len(names) + 1))
+    names = sorted(r["tag"] for r in counted.filter((F.col("bucket") == -1) & (F.col("n") >= LEAST_ROWS)).collect())
+    place = {name: k for k, name in enumerate(names)}
+    table = np.zeros((BUCKETS, len(names)), np.int64)
     for r in counted.filter(F.col("tag").isin(names) & (F.col("bucket") >= 0)).toLocalIterator():  # at most BUCKETS rows a language
-        table[r["bucket"], names.index(r["tag"])] = r["n"]
-    table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * BUCKETS))
-    table[:, -1] = -math.log(BUCKETS)
-    return names, table.astype(np.float32)
+        table[r["bucket"], place[r["tag"]]] = r["n"]
+    return names, table
+
 
+def logarithms(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihoods, BUCKETS x languages and ``und``."""
+    table = np.full((BUCKETS, counts.shape[1] + 1), -math.log(BUCKETS))
+    table[:, :-1] = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
+    return table.astype(np.float32)
+
+
+def likelihoods(rows: DataFrame, names: list[str], counts: np.ndarray) -> DataFrame:
+    """(id, declared, host, ll, text_lang) of rows (id, text, declared, host, fits).
+
+    ll has the logarithms for each language and ``und``, text_lang is the likeliest language, null
+    without three bytes of text. Where a row fits, its trigrams are taken from the language it declares.
+    """
+    place = {name: k for k, name in enumerate(names)}
+    model = rows.sparkSession.sparkContext.broadcast(counts)  # see fit for its size
 
-def likelihoods(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """(id, declared, host, ll, text_lang): the logarithms for each language and ``und``, and the likeliest language."""
     def run(batches):
+        known, table = model.value, logarithms(model.value)
+        totals = known.sum(0)
+
+        def without(data, k):
+            """The logarithm for language k, fitted without this text."""
+            own = _counts(data)
+            some = np.flatnonzero(own)
+            left = np.log((known[some, k] - own[some] + SMOOTHING) / (totals[k] - own.sum() + SMOOTHING * BUCKETS))
+            return float((own[some] * left).sum())
+
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             out = np.zeros((batch.num_rows, table.shape[1]))
-            for k in range(batch.num_rows):
+            for k, (declared, fits) in enumerate(zip(batch.column("declared").to_pylist(), batch.column("fits").to_pylist())):
                 for s in range(int(at[k]), int(at[k + 1]) - 2, PIECE):
                     out[k] += table[trigrams(data[s:min(s + PIECE + 2, int(at[k + 1]))])].sum(0, dtype=np.float64)
+                if fits and declared in place and at[k + 1] - at[k] > 2:
+                    out[k, place[declared]] = without(data[at[k]:at[k + 1]], place[declared])
             best = out[:, :-1].argmax(1) if names else np.zeros(len(out), int)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, table.shape[1], dtype=np.int32), pa.array((out / 3).ravel()))
             seen = [names[b] if names and at[k + 1] - at[k] > 2 else None for k, b in enumerate(best)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "declared", "host")], lists, pa.array(seen, pa.string())], names=["id", "declared", "host", "ll", "text_lang"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "declared", "host", "text").mapInArrow(run, f"id {kind}, declared string, host string, ll array<double>, text_lang string")
+    return rows.select("id", "declared", "host", "text", "fits").mapInArrow(run, f"id {kind}, declared string, host string, ll array<double>, text_lang string")
 
 
 def _levels(found: DataFrame, names: list[str]) -> DataFrame:
@@ -156,11 +206,12 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = MIN_CONFIDENC
     A null declaration or host is no evidence; an empty text leaves the other kinds. ``accepted``
     says that the likeliest class is a language and has at least ``least`` of the probability;
     without any language in the labelled sample, lang is null and nothing is accepted. Rows that
-    repeat count and come out each. The own row does not count in the prior of its host.
+    repeat count and come out each, null ids included. The own row does not count in the prior of
+    its host, nor in the trigrams of the language it declares.
     """
-    rows = rows.withColumn("declared", primary_tag(F.col("declared")))
-    names, table = fit(rows, sample)
-    found = written_table(likelihoods(rows, names, table), "likelihoods")
+    rows = sampled(rows.withColumn("declared", primary_tag(F.col("declared"))), sample)
+    names, counts = fit(rows)
+    found = written_table(likelihoods(rows, names, counts), "likelihoods")
     if not names:
         return found.select("id", "declared", "text_lang", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     said = found.filter("declared is not null and text_lang is not null").groupBy("declared").agg(
@@ -187,7 +238,10 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = MIN_CONFIDENC
 
 
 def page_languages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """identify() for web pages: the id column, declared, text_lang, lang, confidence, accepted."""
+    """identify() for web pages: the id column, declared, text_lang, lang, confidence, accepted.
+
+    Null html is empty text without a declaration; null and repeated ids come out as often as they go in.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), visible_text(html).alias("text"), markup_language(html).alias("declared"), host_of(F.col(url_col)).alias("host"))
     return identify(rows).withColumnRenamed("id", id_col)
