@@ -1,8 +1,9 @@
 """WARC archives with one Zstandard dictionary each, and their reader.
 
-A writing task keeps its first records back, trains a dictionary on them, writes it in a
+A writing task keeps its first records back, trains a dictionary on slices of them, writes it in a
 leading skippable frame and then every record as a frame of its own, so records can be read
-one by one. Of records with equal payloads one is stored, the others revisit it.
+one by one. An archive has no dictionary only where all its records together are too short to
+train one (a few kilobytes). Of records with equal payloads one is stored, the others revisit it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY, LEVEL = 1 << 14, 3
 #: Bytes of records a dictionary is trained on, and of payloads after which a new archive begins.
 TRAINED, ARCHIVE = 1 << 20, 1 << 28
+#: Bytes of a slice; long records make many samples, so that few of them are enough to train on.
+SLICE = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -59,8 +62,9 @@ class Archive:
 
     def __init__(self, path: str, first: list[bytes]):
         self.path, self.records, self.size = path, 0, 0
+        slices = [data[k:k + SLICE] for data in first for k in range(0, len(data), SLICE)]
         try:
-            trained = zstandard.train_dictionary(DICTIONARY, first, k=512, d=8) if len(first) > 8 else None
+            trained = zstandard.train_dictionary(DICTIONARY, slices, k=512, d=8)
         except zstandard.ZstdError:  # too little to learn from
             trained = None
         self.out = sink(path)

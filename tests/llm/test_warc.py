@@ -53,5 +53,17 @@ def test_dictionary_leads_the_archive(spark, tmp_path):
         list(warc.frames(str(tmp_path / "b.zst")))
 
 
+def test_large_pages_have_a_dictionary_too(spark, tmp_path):
+    """Pages of 200 kB, and one of 3 MB alone: fewer records than samples."""
+    page = lambda k, n: " ".join(f"<p>word{(i * 7919 + k) % 5003} of {k}</p>" for i in range(n)).encode()
+    for name, docs in [("a", [page(k, 10_000) for k in range(5)]), ("b", [page(1, 150_000)])]:
+        archive = warc.Archive(str(tmp_path / name), docs)
+        for d in docs:
+            archive.add(d)
+        archive.close()
+        assert int.from_bytes((tmp_path / name).read_bytes()[:4], "little") == warc.DICTIONARY_FRAME
+        assert list(warc.frames(str(tmp_path / name))) == docs
+
+
 def test_empty(spark, pages):
     assert warc.archived(pages.limit(0)).collect() == []
