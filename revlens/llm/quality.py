@@ -90,7 +90,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # at most TRUSTED ids are sent to all tasks
     marked = texts.join(F.broadcast(ids), "id", "left").select(words(F.col("text")).alias("words"), F.coalesce("hit", F.lit(0)).alias("hit"))
-    counted = with_grams(with_digests(marked, "words", "digests"), "digests", "grams").select(F.explode("grams").alias("bucket"), "hit").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
+    # a plain explode would put a test of its array below all steps, which then cut and hash the words again
+    grams = with_grams(with_digests(marked, "words", "digests"), "digests", "grams").select(F.explode_outer("grams").alias("bucket"), "hit")
+    counted = grams.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     rows = written_table(counted, "grams").collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
