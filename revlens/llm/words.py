@@ -35,10 +35,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null is empty."""
+    """(bytes, offsets) of a string or binary column; null is empty."""
     if column.null_count:
-        column = column.fill_null("")
-    wide = column.cast(pa.large_string())
+        column = column.fill_null(pa.scalar("").cast(column.type))
+    wide = column.cast(pa.large_binary())
     _, offsets, data = wide.buffers()
     at = np.frombuffer(offsets, np.int64)[wide.offset:wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at

@@ -117,3 +117,54 @@ def test_recall_on_planted_paraphrases(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()}
     assert len(want) >= 0.6 * len(items) and len(want & got) >= 0.9 * len(want) and not got - want, (len(want), len(want & got), len(got))
+
+
+def test_latent_space_comes_from_all_rows(spark, monkeypatch):
+    """Counts and singular vectors against the same steps on the whole matrix, which more documents make than a sample of 4,000 had."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(words, k=7))) for k in range(30)]
+    rows = [(k, " ".join(rng.choices(words + ["out", "side"], weights=[1 + (j * 7 + k // 1000) % 13 for j in range(62)], k=rng.randrange(0, 40)))) for k in range(9_000)]
+    own = decontam.Items(items)
+    n, length = len(own.vocabulary), max(own.lengths, key=lambda k: len(own.lengths[k]))
+    matrix, total = [], 0
+    for h in decontam._digests([t for _, t in rows]):
+        place, total = own.places(h), total + len(h)
+        for k in range(0, len(place), length):
+            some = place[k:k + length]
+            matrix.append(np.bincount(some[some >= 0], minlength=n))
+    matrix = np.array(matrix)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for cells in (decontam.CELLS, 20 * n):  # at once, and in rounds of rows
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        monkeypatch.setattr(decontam, "SLICE", 7 * n)
+        count, n_words, pairs = decontam.counted(decontam.placed(docs, own), own)
+        assert n_words == total and count.tolist() == matrix.sum(0).tolist()
+        weights = decontam.idf(count, n_words)
+        space = decontam.latent_space(pairs, count, own, weights, rank=10)
+        a = np.vstack([matrix, [np.bincount(f, minlength=n) for f in own.features]]) * weights
+        basis = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((n, 10 + decontam.OVERSAMPLING)))[0]
+        basis = np.linalg.qr(a.T @ (a @ basis))[0]
+        best = (np.linalg.svd(a @ basis, compute_uv=False)[:10] ** 2).sum()
+        assert space.shape == (n, 10) and abs(np.linalg.norm(a @ space) ** 2 / best - 1) < 1e-5
+
+
+def test_regions_lose_none(spark):
+    """The test on rare words passes over no region that holds enough of an item."""
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, 12 + k) % 300)) for k in range(40)]
+    own = decontam.Items(items)
+    n = len(own.vocabulary)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, 150) % 400) + " " + items[k % 40][1] for k in range(200)]
+    h = decontam._digests(texts)
+    place, size = own.places(np.concatenate(h)), np.array([len(x) for x in h])
+    count = np.bincount(place[place >= 0], minlength=n)
+    search = decontam.Search(own, rng.standard_normal((n + 1, 4)).astype(np.float32), np.append(np.ones(n), 0), count)
+    begin = np.cumsum(size) - size
+    for length, *tile in search.tiles:
+        want = set()
+        for r, (b, m) in enumerate(zip(begin, size)):
+            for first in range(0, max(1, -(-m // length) - decontam.REGION + 1) * length, length):
+                there = place[b + first:b + min(m, first + decontam.REGION * length)]
+                want |= {(r, first, int(i)) for i in tile[0] if np.isin(own.features[i], there).mean() >= decontam.PARAPHRASE}
+        assert set(search.regions(length, *tile, place, size)) == want
