@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,22 +18,39 @@ SCRIPT_TYPE = T.ArrayType(
 )
 
 
-@F.pandas_udf(SCRIPT_TYPE)
-def _script(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for before, after in pairs:
-        yield pd.Series(
-            [
-                [{"op": op, "word": word} for op, word in edit_script(list(a), list(b))]
-                for a, b in zip(before, after)
-            ],
-            dtype="object",
-        )
+#: Words in the pairs that a task holds as Python objects at once; a longer pair is taken alone.
+WORDS_AT_ONCE = 1 << 17
 
 
-@F.pandas_udf(T.LongType())
-def _common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for before, after in pairs:
-        yield pd.Series([common_words(list(a), list(b)) for a, b in zip(before, after)], dtype="int64")
+def _slices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[list[tuple[list[str], list[str]]]]:
+    """The pairs in order, few enough at once; an Arrow batch is bounded by rows, whatever their length."""
+    for before, after in batches:
+        sizes = np.add(*(side.value_lengths().to_numpy(zero_copy_only=False) for side in (before, after)))
+        upto = np.append(0, np.cumsum(sizes))
+        k = 0
+        while k < len(sizes):
+            stop = max(k + 1, int(np.searchsorted(upto, upto[k] + WORDS_AT_ONCE, "right")) - 1)
+            yield list(zip(before[k:stop].to_pylist(), after[k:stop].to_pylist()))
+            k = stop
+
+
+@F.arrow_udf(SCRIPT_TYPE)
+def _script(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for some in _slices(pairs):
+        ends, ops, found = [0], [], []
+        for a, b in some:
+            for op, word in edit_script(a, b):
+                ops.append(op)
+                found.append(word)
+            ends.append(len(ops))
+        entries = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(found, pa.string())], names=["op", "word"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+
+@F.arrow_udf(T.LongType())
+def _common(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for some in _slices(pairs):
+        yield pa.array([common_words(a, b) for a, b in some], pa.int64())
 
 
 def _word_list(c: Column) -> Column:

@@ -3,6 +3,7 @@ from itertools import accumulate
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,15 @@ def test_order_numbers_of_both_kinds_never_meet(spark):
     df = spark.createDataFrame(rows, "rev_seq bigint, change_seq bigint")
     got = [r[0] for r in df.select(textdiff.change_order(F.col("rev_seq"), F.col("change_seq"))).collect()]
     assert len(set(got)) == len(rows) and got[4] < got[0] < got[1] < got[2] < got[3]
+
+
+def test_word_diff_takes_few_words_at_once():
+    """An Arrow batch of many long pairs is worked off in slices; a pair longer than a slice is taken alone."""
+    rng = random.Random(2)
+    sizes = [*[400] * 800, worddiff.WORDS_AT_ONCE, 0, 3]
+    texts = [[rng.choice("abcdefg") for _ in range(n)] for n in sizes]
+    sides = pa.array(texts), pa.array([t[1:] + ["z"] * bool(t) for t in texts])
+    scripts, kept = ([x for x in f.func(iter([sides]))] for f in (worddiff._script, worddiff._common))
+    assert max(len(x.flatten()) for x in scripts) <= worddiff.WORDS_AT_ONCE + 1 and len(scripts) >= 5
+    assert [[o["word"] for o in s if o["op"] != "ins"] for x in scripts for s in x.to_pylist()] == texts
+    assert [n for x in kept for n in x.to_pylist()] == [max(0, n - 1) for n in sizes]
