@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.scores import best_label
-from revlens.functions.text import non_blank, text_key, words
+from revlens.functions.text import non_blank, run_starts, text_key, words
 from revlens.schema import NOT_AVAILABLE
 from revlens.session import written_table
 
@@ -70,9 +70,16 @@ def tokens(text: Column) -> Column:
 
 
 def token_counts(texts: DataFrame, *keys: str) -> DataFrame:
-    return texts.select(*keys, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(
-        F.count("*").alias("n")
+    """(keys, token, n): how often each text uses each token, counted inside its row, so nothing is shuffled."""
+    listed = texts.select(*keys, F.array_sort(tokens(F.col("text"))).alias("_t"))
+    starts = listed.withColumn("_s", run_starts(F.col("_t")))
+    runs = F.transform(
+        "_s",
+        lambda s, k: F.struct(
+            F.get("_t", s).alias("token"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - s).cast("long").alias("n")
+        ),
     )
+    return starts.select(*keys, F.inline(runs))
 
 
 class NaiveBayes:

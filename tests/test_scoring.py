@@ -62,3 +62,10 @@ def test_enrichment_end_to_end(spark):
     ]
     stored = spark.createDataFrame(out, enrich.enrich(revs, scorer, pick, pick).schema)
     assert enrich.enrich(revs, scorer, pick, pick, stored).count() == 0
+
+
+def test_tokens_are_counted_without_a_shuffle(spark):
+    rows = [(1, "b a B c a a"), (2, None), (3, ""), (4, " \t "), (5, "Ä ä"), (6, "x" * 3), (1, "a")]
+    counts = scoring.token_counts(spark.createDataFrame(rows, "key long, text string"), "key")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 1), (1, "a", 3), (1, "b", 2), (1, "c", 1), (5, "ä", 2), (6, "xxx", 1)]
