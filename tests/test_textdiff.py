@@ -191,3 +191,28 @@ def test_word_diff_takes_few_words_at_once():
     assert max(len(x.flatten()) for x in scripts) <= worddiff.WORDS_AT_ONCE + 1 and len(scripts) >= 5
     assert [[o["word"] for o in s if o["op"] != "ins"] for x in scripts for s in x.to_pylist()] == texts
     assert [n for x in kept for n in x.to_pylist()] == [max(0, n - 1) for n in sizes]
+
+
+def test_sentence_edits_stay_in_the_row(spark):
+    """Against counters, with repeated sentences on both sides; nothing is grouped after the pairing."""
+    rng = random.Random(9)
+    sides = [[". ".join(rng.choice("abcdef") * 3 for _ in range(rng.randrange(1, 9))) + "." for _ in range(2)] for _ in range(150)]
+    pairs = spark.createDataFrame([(1, 0, k, a, b) for k, (a, b) in enumerate(sides)], "article int, bucket int, rev_seq int, previous string, current string")
+    edits = textdiff.sentence_edits(pairs)
+    plan = edits._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan and "Sort" not in plan
+    got = {}
+    for r in sorted(edits.collect(), key=lambda r: (r["rev_seq"], r["change_seq"])):
+        got.setdefault(r["rev_seq"], []).append((r["change_type"].split(":")[-1], r["diff_before"], r["diff_after"]))
+    for k, (a, b) in enumerate(sides):
+        old, new = ([s.strip() for s in x.replace(".", ".\n").split("\n") if s.strip()] for x in (a, b))
+        up, down = Counter(new) - Counter(old), Counter(old) - Counter(new)
+        added = [s for s in dict.fromkeys(new) for _ in range(up[s])]
+        removed = [s for s in dict.fromkeys(old) for _ in range(down[s])]
+        want = []
+        for j in range(max(len(added), len(removed))):
+            if j < len(removed) and j < len(added):
+                want += [("Insert", "", added[j]), ("Remove", removed[j], "")]
+            else:
+                want += [("Insert", "", added[j])] if j < len(added) else [("Remove", removed[j], "")]
+        assert got.get(k, []) == want, (k, a, b)
