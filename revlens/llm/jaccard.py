@@ -335,7 +335,7 @@ class FinePoints:
 
 def second_pairs(dealt: DataFrame, fine: FinePoints) -> DataFrame:
     """All pairs (a, b) of rows (slab, i, j, half, size, low, high, label) with different labels that both bounds let through."""
-    def finer(half):
+    def reach_of(half):
         names, place = np.unique(half, return_inverse=True)
         size, count = fine.of(names)
         shift, size = (size & 255).astype(np.int64), size >> 8
@@ -362,7 +362,7 @@ def second_pairs(dealt: DataFrame, fine: FinePoints) -> DataFrame:
             for some, with_side in ((~mixed, False), (mixed, True)):
                 at = np.flatnonzero(some)
                 if len(at):
-                    begin, reach = _starts([k[at] for k in keys]), finer(half[at])
+                    begin, reach = _starts([k[at] for k in keys]), reach_of(half[at])
                     for i, j in tree_join(begin, Points(size[at], low[at], high[at]), own[at], side[at] if with_side else None):
                         good = reach(i, j)
                         a, b = half[at[i[good]]], half[at[j[good]]]
@@ -386,14 +386,21 @@ def _array_files(numbers: DataFrame, name: str) -> list[tuple[int, str]]:
     return [tuple(r) for r in written_table(files, f"{name}-files").orderBy("first").collect()]
 
 
-def candidates(texts: DataFrame, sets: DataFrame, ends: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
-    """(half, node, fine, members) of the sets whose half is among ends: a finer point, and the set.
+def finer(own: np.ndarray) -> bytes:
+    """The point of FINE groups of a set, behind its size and shift."""
+    count, shift = point(own, FINE)
+    return np.array([len(own) << 8 | shift]).tobytes() + count.tobytes()
+
+
+def candidates(texts: DataFrame, sets: DataFrame, ends: DataFrame, name: str, column: str, shingle: int = SHINGLE) -> DataFrame:
+    """(half, node, column) of the sets whose half is among ends; column: ``fine``, the finer point, or ``members``, the set.
 
     One text of each set is shingled again. Which ones, every task looks up in sorted files that
-    it maps, so that no other text moves.
+    it maps, so that no other text moves. Sets are some twenty times as long as points, so only
+    those of pairs that the points leave are asked for.
     """
     prints = sets.join(ends, "half", "left_semi").groupBy("node").agg(F.min("print").alias("n")).select("n")
-    files = _array_files(prints, name)
+    files = _array_files(prints, f"{name}-{column}")
 
     def run(batches):
         arrays, seen = [(f, map_arrays(path)["n"]) for f, path in files], set()
@@ -412,53 +419,65 @@ def candidates(texts: DataFrame, sets: DataFrame, ends: DataFrame, name: str, sh
                     yield batch.filter(pa.array(hit))
 
         for _, some in _shingled(wanted(), shingle):
-            node, fine, members = [], [], []
+            node, value = [], []
             for own in some:
                 if len(own):
-                    count, shift = point(own, FINE)
-                    members.append(own.tobytes())
-                    node.append(xxhash.xxh3_128_digest(members[-1]))
-                    fine.append(np.array([len(own) << 8 | shift]).tobytes() + count.tobytes())
+                    node.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    value.append(finer(own) if column == "fine" else own.tobytes())
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(_halves(node)), *[pa.array(x, pa.binary()) for x in (node, fine, members)]], names=["half", "node", "fine", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(_halves(node)), pa.array(node, pa.binary()), pa.array(value, pa.binary())], names=["half", "node", column])
+
+    found = texts.mapInArrow(run, f"half bigint, node binary, {column} binary")
+    return written_table(found.groupBy("half", "node").agg(F.first(column).alias(column)), f"{name}-{column}")
+
+
+def _tested(test):
+    """For mapInArrow: the rows, sorted by a, whose a_value and b_value pass the test."""
+    def run(batches):
+        last, one = None, None
+        for batch in batches:
+            good = []
+            for k, (x, y) in enumerate(zip(batch.column("a_value"), batch.column("b_value"))):
+                x = x.as_buffer()
+                if last is None or x != last:
+                    last, one = x, x
+                if test(one, y.as_buffer()):
+                    good.append(k)
+            yield batch.select(["a", "b", "a_node", "b_node"]).take(pa.array(good, pa.int64()))
 
-    found = texts.mapInArrow(run, "half bigint, node binary, fine binary, members binary")
-    return written_table(found.groupBy("half", "node").agg(F.first("fine").alias("fine"), F.first("members").alias("members")), f"{name}-sets")
+    return run
 
 
-def confirmed(pairs: DataFrame, some: DataFrame, name: str) -> DataFrame:
-    """Links (a, b, a_half, b_half) of the nodes whose halves are paired and whose sets (of candidates) are linked."""
+_PAIR = "a bigint, b bigint, a_node binary, b_node binary"
 
-    def kept(test):
-        def run(batches):
-            last, one = None, None
-            for batch in batches:
-                good = []
-                for k, (x, y) in enumerate(zip(batch.column("a_value"), batch.column("b_value"))):
-                    x = x.as_buffer()
-                    if last is None or x != last:
-                        last, one = x, x
-                    if test(one, y.as_buffer()):
-                        good.append(k)
-                yield batch.select(["a", "b", "a_node", "b_node"]).take(pa.array(good, pa.int64()))
-
-        return run
-
-    def bounded(x, y):
+
+def _end(some: DataFrame, k: str, column: str) -> DataFrame:
+    return some.select(F.col("half").alias(k), F.col("node").alias(f"{k}_node"), F.col(column).alias(f"{k}_value"))
+
+
+def bounded(pairs: DataFrame, fine: DataFrame, name: str) -> DataFrame:
+    """(a, b, a_node, b_node) of the nodes whose halves are paired and whose finer points reach the overlap they need."""
+
+    def reach(x, y):
         (a, b), (p, q) = (np.frombuffer(v, np.int64, 1) for v in (x, y)), (np.frombuffer(v, np.uint8, FINE, 8).astype(np.int64) for v in (x, y))
         return int(np.minimum(p << (a & 255), q << (b & 255)).sum()) >= needed(int(a[0]) >> 8, int(b[0]) >> 8)
 
+    near = pairs.join(_end(fine, "b", "fine"), "b").join(_end(fine, "a", "fine"), "a")
+    return written_table(near.mapInArrow(_tested(reach), _PAIR), f"{name}-near")
+
+
+def ends_of(pairs: DataFrame, name: str) -> DataFrame:
+    """(half) of both ends of pairs (a, b)."""
+    return written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), f"{name}-ends")
+
+
+def confirmed(near: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """Links (a, b, a_half, b_half) of the bounded pairs whose sets (of candidates) are linked."""
+
     def equal_enough(x, y):
         return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
 
-    def ends_of(column):
-        return (some.select(F.col("half").alias(k), F.col("node").alias(f"{k}_node"), F.col(column).alias(f"{k}_value")) for k in "ab")
-
-    schema = "a bigint, b bigint, a_node binary, b_node binary"
-    left, right = ends_of("fine")
-    near = written_table(pairs.join(right, "b").join(left, "a").mapInArrow(kept(bounded), schema), f"{name}-near")
-    left, right = ends_of("members")
-    done = near.join(right, ["b", "b_node"]).join(left, ["a", "a_node"]).mapInArrow(kept(equal_enough), schema)
+    done = near.join(_end(some, "b", "members"), ["b", "b_node"]).join(_end(some, "a", "members"), ["a", "a_node"]).mapInArrow(_tested(equal_enough), _PAIR)
     return written_table(done.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a").alias("a_half"), F.col("b").alias("b_half")), f"{name}-links")
 
 
@@ -471,8 +490,8 @@ def links(texts: DataFrame, sets: DataFrame, small: int = SMALL, slab: int = SLA
     dealt = entries(texts.select("text"), bucket_order(texts.select("text"))).repartition("slab").sortWithinPartitions("slab", "size", "low", "high", "half")
     rows = written_table(crowded(dealt, small), "crowded")
     pairs = written_table(rows.filter("slab is null").select("a", "b").distinct(), "first-pairs")
-    ends = written_table(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct(), "first-ends")
-    first = confirmed(pairs, candidates(texts, sets, ends, "first"), "first")
+    near = bounded(pairs, candidates(texts, sets, ends_of(pairs, "first"), "first", "fine"), "first")
+    first = confirmed(near, candidates(texts, sets, ends_of(near, "first-near"), "first", "members"), "first")
     roots = connected(first.select("a", "b"))
     ends = first.select(F.col("a").alias("node"), F.col("a_half").alias("half")).unionByName(first.select(F.col("b").alias("node"), F.col("b_half").alias("half")))
     labels = written_table(ends.distinct().join(roots, "node").select("half", F.xxhash64("root").alias("label")), "labels")
@@ -482,12 +501,14 @@ def links(texts: DataFrame, sets: DataFrame, small: int = SMALL, slab: int = SLA
     mixed = mixed.select("slab", F.ceil(F.col("n") / slab).cast("long").alias("parts"))
     part = F.pmod("half", "parts")
     own = written_table(own.join(mixed, "slab"), "mixed")
-    some = candidates(texts, sets, own.select("half").distinct(), "second")
+    fine = candidates(texts, sets, own.select("half").distinct(), "second", "fine")
     dealt = own.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select(*_ENTRY, "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     dealt = dealt.repartition("slab", "i", "j").sortWithinPartitions("slab", "i", "j", "label", "size", "low", "high")
-    pairs = written_table(second_pairs(dealt, FinePoints(some)).distinct(), "second-pairs")
-    return first.unionByName(confirmed(pairs, some, "second")).select("a", "b")
+    pairs = written_table(second_pairs(dealt, FinePoints(fine)).distinct(), "second-pairs")
+    near = bounded(pairs, fine, "second")
+    second = confirmed(near, candidates(texts, sets, ends_of(near, "second-near"), "second", "members"), "second")
+    return first.unionByName(second).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, slab: int = SLAB) -> DataFrame:

@@ -100,6 +100,24 @@ def test_large_group_and_hot_shingles(spark):
     compared(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
 
 
+@pytest.mark.parametrize("small", [1, 32])
+def test_only_sets_of_bounded_pairs_are_fetched(spark, monkeypatch, small):
+    """Texts that share a passage meet in large slabs, but most of their pairs stay below the bound."""
+    rows = list(enumerate(near_texts(160, 5)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets, own, seen = jaccard.sets_of(docs), jaccard.confirmed, []
+
+    def noted(pairs, some, name):
+        ends = {h for r in pairs.collect() for h in (r["a"], r["b"])}
+        seen.append((name, ends, {r["half"] for r in some.collect()}))
+        return own(pairs, some, name)
+
+    monkeypatch.setattr(jaccard, "confirmed", noted)
+    jaccard.links(docs.selectExpr("xxhash64(text) as print", "text"), sets, small=small).collect()
+    assert [name for name, _, _ in seen] == ["first", "second"] and seen[0][1]
+    assert all(fetched == ends for _, ends, fetched in seen)
+
+
 def test_tree_join_against_all_pairs():
     rng = np.random.default_rng(2)
     start, low, high, size = [0], [], [], []
