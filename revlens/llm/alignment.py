@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the bytes of a text, by sparse incidence matrices.
 
 Both tokenizers cut the same bytes. A matrix of tokens by bytes, in CSR form, is built for each;
-the product A times B transposed, row by row after Gustavson, has an entry for each pair of
+bytes that no token end separates have equal columns and share one. The product A times B transposed, row by row after Gustavson, has an entry for each pair of
 tokens that share bytes. Offsets where tokens of both end cut the bytes into groups; the product
 of the matrices of tokens by groups links tokens of one group. A batch of texts is one block
 diagonal matrix. How many texts hold a pair of ids linked is counted per task first and
@@ -31,6 +31,8 @@ from revlens.session import scratch_path, written_table
 CHUNK, HELD = 1 << 17, 1 << 19
 #: Texts that go from one task to the next at a time.
 TEXTS = 512
+#: Words whose pieces a worker remembers, and the most characters of one.
+REMEMBERED, WORD_CHARS = 1 << 17, 40
 #: Entries a product may expand to at once.
 EXPAND = 1 << 22
 
@@ -52,7 +54,7 @@ class Csr:
 
 
 def incidence(lengths: np.ndarray) -> Csr:
-    """Tokens by bytes, for tokens of these lengths that follow each other."""
+    """Tokens by columns, for tokens that follow each other and have so many columns each."""
     indptr = np.append(0, np.cumsum(lengths))
     return Csr(indptr, np.arange(indptr[-1], dtype=np.int32), int(indptr[-1]))
 
@@ -117,6 +119,60 @@ class Tokenizer:
         return self._library.encode(text, add_special_tokens=False).ids
 
 
+class Words:
+    """The pieces of texts word by word, for a model of which cut_by_words holds; those of frequent words are remembered."""
+
+    def __init__(self, whole: Tokenizer):
+        self.whole, self.known, self.kind = whole, {}, _kind(len(whole.pieces))
+        self.cut = re.compile(r" [^ ]+")
+        self.first = np.array([p.startswith(b" ") for p in whole.pieces])
+
+    def __call__(self, text: str) -> bytes | None:
+        """The ids of a text, packed; None if their bytes are not a blank and the text. Texts with other than lone blanks between words are taken as a whole."""
+        words, known = self.cut.findall(" " + text), self.known
+        if "▁" in text or sum(map(len, words)) != len(text) + 1:
+            return self._packed(text)
+        new = list({w for w in words if w not in known})
+        if not new:
+            return b"".join(map(known.__getitem__, words))
+        data = self._packed("".join(new)[1:])
+        if data is None:
+            return self._packed(text)
+        at = (np.flatnonzero(self.first[np.frombuffer(data, self.kind)]) * self.kind.itemsize).tolist()
+        found = {w: data[s:e] for w, s, e in zip(new, at, [*at[1:], len(data)])}
+        out = b"".join([known.get(w) or found[w] for w in words])
+        if len(known) < REMEMBERED:
+            known.update((w, ids) for w, ids in found.items() if len(w) <= WORD_CHARS)
+        return out
+
+    def _packed(self, text: str) -> bytes | None:
+        ids = self.whole.ids(text)
+        return array(self.kind.char, ids).tobytes() if b"".join(map(self.whole.pieces.__getitem__, ids)) == b" " + text.encode() else None
+
+
+def cut_by_words(path: str) -> bool:
+    """Whether a model of pieces gives a text the pieces of its words, each with the lone blank before it.
+
+    So it is if the text stays as it is, a blank is put before it, characters without a piece are
+    spelt in bytes, and no piece has a blank behind another character: then no merge reaches
+    from one word into the next.
+    """
+    if not path.endswith(".model"):
+        return False
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    trained, normal, kinds = model.trainer_spec, model.normalizer_spec, model.SentencePiece
+    plain = not normal.precompiled_charsmap and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
+    merges = trained.model_type == trained.BPE and trained.byte_fallback and not trained.treat_whitespace_as_suffix
+    usual = all(p.type in (kinds.NORMAL, kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN) for p in model.pieces)
+    return bool(plain and merges and usual and not any(re.search("[^▁]▁", p.piece) for p in model.pieces if p.type == kinds.NORMAL))
+
+
 def _piece_bytes(piece: str) -> bytes:
     hexed = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
     return bytes([int(hexed[1], 16)]) if hexed else piece.replace("▁", " ").encode()
@@ -168,20 +224,25 @@ def _kind(size: int) -> np.dtype:
 def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, a, b): the ids of every text as numbers of 16 bits if the vocabulary allows it, else 32, empty if the bytes of either are not space and text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    odd = odd_characters(a_path)
+    odd, by_words = odd_characters(a_path), cut_by_words(b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = Tokenizer(a_path, odd), Tokenizer(b_path)
         kinds = [_kind(len(t.pieces)).char for t in (a, b)]
+        words = Words(b) if by_words else None
         for batch in (b.slice(s, TEXTS) for b in batches for s in range(0, b.num_rows, TEXTS)):
             out: list[tuple[bytes, bytes]] = []
             for text in batch.column("text"):
                 pair, text = (b"", b""), text.as_py()
                 if text:
-                    first, second = a.ids(" " + text), b.ids(text)
-                    want = b" " + text.encode()
-                    if b"".join(map(a.pieces.__getitem__, first)) == want and b"".join(map(b.pieces.__getitem__, second)) == want:
-                        pair = array(kinds[0], first).tobytes(), array(kinds[1], second).tobytes()
+                    first, want = a.ids(" " + text), b" " + text.encode()
+                    if words:
+                        second = words(text)
+                    else:
+                        ids = b.ids(text)
+                        second = array(kinds[1], ids).tobytes() if b"".join(map(b.pieces.__getitem__, ids)) == want else None
+                    if second is not None and b"".join(map(a.pieces.__getitem__, first)) == want:
+                        pair = array(kinds[0], first).tobytes(), second
                 out.append(pair)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)]], names=["doc_id", "a", "b"])
 
@@ -255,12 +316,13 @@ def _blocks(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> It
             stop += 1
         ids = tuple(flat[x][at[x][k]:at[x][stop]].view(kinds[x]).astype(np.int64) for x in (0, 1))
         row = tuple(np.repeat(np.arange(stop - k), np.diff(at[x][k:stop + 1]) // kinds[x].itemsize) for x in (0, 1))
-        matrices = tuple(incidence(lengths[x][ids[x]].astype(np.int64)) for x in (0, 1))
-        ends = np.zeros(matrices[0].width + 1, np.int8)
-        for m in matrices:
-            ends[m.indptr[1:]] += 1
-        cuts = np.cumsum(ends == 2)
-        groups = tuple(cuts[m.indptr[:-1]] for m in matrices)
+        upto = tuple(np.append(0, np.cumsum(lengths[x][ids[x]], dtype=np.int64)) for x in (0, 1))
+        ends = np.zeros(int(upto[0][-1]) + 1, np.int8)
+        for p in upto:
+            ends[p[1:]] += 1
+        cuts, column = np.cumsum(ends == 2), np.cumsum(ends > 0)
+        matrices = tuple(incidence(np.diff(column[p])) for p in upto)
+        groups = tuple(cuts[p[:-1]] for p in upto)
         yield k, Block(ids, row, matrices, groups, stop - k)
         k = stop
 

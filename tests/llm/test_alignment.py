@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -101,6 +102,23 @@ def test_product_against_dense(expand, monkeypatch):
     assert [back.indices[s:e].tolist() for s, e in zip(back.indptr, back.indptr[1:])] == [np.flatnonzero(c).tolist() for c in x.T]
 
 
+def test_words_give_the_pieces_of_the_text(monkeypatch):
+    """Word by word as from the library, whether words are remembered or not; bytes that no token end separates are one column."""
+    assert alignment.cut_by_words(B) and not alignment.cut_by_words(A)
+    monkeypatch.setattr(alignment, "REMEMBERED", 6)
+    tokenizer, a = alignment.Tokenizer(B), alignment.Tokenizer(A)
+    words = alignment.Words(tokenizer)
+    for text in [t for t in TEXTS + MORE + ["wörter und <0x41> mehr", "ends blank ", " ", "a\n b"] if t] * 2:
+        ids = tokenizer.ids(text)
+        spelt = b"".join(tokenizer.pieces[k] for k in ids) == b" " + text.encode()
+        assert words(text) == (np.array(ids, np.uint16).tobytes() if spelt else None)
+    assert words.known
+    text = "international tokenizers " * 50
+    cols = [pa.array([np.array(x, np.uint16).tobytes()], pa.binary()) for x in (a.ids(" " + text), tokenizer.ids(text))]
+    [(_, block)] = alignment._blocks(pa.RecordBatch.from_arrays(cols, names=["a", "b"]), (a.lengths, tokenizer.lengths))
+    assert block.matrices[0].width == block.matrices[1].width <= len(block.ids[0]) + len(block.ids[1]) < len(text)
+
+
 def test_links(spark):
     docs = spark.createDataFrame([(1, "hello token world"), (2, None)], "doc_id bigint, text string")
     report = alignment.report(docs, A, B).filter("doc_id = 1").first()
