@@ -1,9 +1,11 @@
 """The parallel duplicate check against the rule as a plain loop."""
 
 import random
+import re
 
 from revlens.operators import dedup
 from revlens.session import cut_lineage
+from revlens.workload import catalogue
 
 SCHEMA = "article string, change_ord long, original_revid long, diff_before string, diff_after string"
 
@@ -95,3 +97,23 @@ def test_row_ids(spark):
     rows = [("a", 1, 7, "", "x"), ("a", 2, 7, "", "y"), ("a", 3, 8, "", "z")]
     ids = dedup.with_row_id(spark.createDataFrame(rows, SCHEMA)).select("id").collect()
     assert sorted(r["id"] for r in ids) == ["7-0001", "7-0002", "8-0001"]
+
+
+def test_ids_on_narrow_rows(spark):
+    rows = random_rows(random.Random(8), 300, 14, "abcdef")
+    changes = cut_lineage(spark.createDataFrame(rows, SCHEMA))
+    want = dedup.with_row_id(dedup.saved_changes(changes))
+    assert sorted(map(tuple, dedup.saved_with_id(changes).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert {len(r["own"]) for r in dedup.change_keys(changes).filter("own is not null").collect()} == {16}
+
+
+def test_texts_move_once_for_the_saved_rows(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalogue.saved_changes(spark, "/root/testdata/sf0.001")
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) > 1 and sum("diff_after" in columns for columns in moved) == 1
